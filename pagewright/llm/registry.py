@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import language_id, mixing, packing
+from pagewright.llm import language_id, mixing, ngram_join, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": ngram_join.op1,
     "op4_language_id": language_id.op4,
     "op6_mix_sources": mixing.op6,
+    "op8_toxicity": toxicity.op8,
     "op10_pack_documents": packing.op10,
 }
 
