@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import language_id, mixing, ngram_join, packing, toxicity
+from pagewright.llm import fingerprint, language_id, mixing, ngram_join, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join.op1,
     "op4_language_id": language_id.op4,
     "op6_mix_sources": mixing.op6,
     "op8_toxicity": toxicity.op8,
+    "op9_fingerprint": fingerprint.op9,
     "op10_pack_documents": packing.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: The other queries are held against brute force or held-out labels in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op6_mix_sources": mixing.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mix_sources": mixing.OP6_SQL, "op9_fingerprint": fingerprint.OP9_SQL}
