@@ -24,10 +24,12 @@ shingles.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import table, written
@@ -197,14 +199,15 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(ids, "doc_id", "left_semi")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. Sizes and parity sketches first, which are short, then the sets themselves."""
-    short = sets.select("doc_id", "n", "parity")
-    left = pairs.join(short.withColumnsRenamed({"doc_id": "a", "n": "n_a", "parity": "parity_a"}), "a")
-    both = left.join(short.withColumnsRenamed({"doc_id": "b", "n": "n_b", "parity": "parity_b"}), "b")
-    distance = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    near = both.filter((4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (7 * distance <= F.col("n_a") + F.col("n_b")))
-    near = written(near.select("a", "b"), "near")
+def _near(one: str, other: str) -> Column:
+    """Sizes and parity sketches allow two sets to link. Hamming distance is a lower bound of their difference."""
+    distance = reduce(add, [F.bit_count(F.col(f"{one}.parity")[i].bitwiseXOR(F.col(f"{other}.parity")[i])) for i in range(PARITY_LONGS)])
+    n_one, n_other = F.col(f"{one}.n"), F.col(f"{other}.n")
+    return (4 * F.least(n_one, n_other) >= 3 * F.greatest(n_one, n_other)) & (7 * distance <= n_one + n_other)
+
+
+def _verify(near: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     full = written(_sets_of(docs, ids), "candidate-sets")
     met = near.join(full.withColumnsRenamed({"doc_id": "b", "hashes": "of_b"}), "b").join(full.withColumnsRenamed({"doc_id": "a", "hashes": "of_a"}), "a")
@@ -232,16 +235,22 @@ def join(docs: DataFrame) -> DataFrame:
     group = Window.partitionBy("key")
     met = keys.withColumn("hub", F.min("doc_id").over(group)).withColumn("last", F.max("doc_id").over(group)).filter("hub < last")
     met = written(met.select("key", "doc_id", "hub"), "met")
-    links = _verify(met.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), sets, docs)
-    links = written(links, "links-to-hubs")
+    short = sets.select("doc_id", "n", "parity")
+    pairs = met.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    near = pairs.join(short.alias("x"), F.col("a") == F.col("x.doc_id")).join(short.alias("y"), F.col("b") == F.col("y.doc_id")).filter(_near("x", "y"))
+    links = written(_verify(written(near.select("a", "b"), "near-hubs"), docs), "links-to-hubs")
     found = written(components(links), "components")
 
-    named = met.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "hub")
-    named = written(named.withColumn("apart", F.min("component").over(group) < F.max("component").over(group)).filter("apart").drop("apart"), "apart")
-    one, other = named.alias("x"), named.alias("y")
-    rest = one.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.doc_id") != F.col("x.hub")))
-    rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more = written(_verify(rest, sets, docs), "links-between")
+    named = met.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    named = named.withColumns({"first": F.min("component").over(group), "last": F.max("component").over(group)}).filter("first < last").drop("last")
+    apart = written(named.join(short, "doc_id"), "apart")
+    # Of two documents in different components one at least is not in the first; sizes and sketches are part of the condition,
+    # so that only pairs that are near leave the join.
+    one, other = apart.filter("component <> first").alias("x"), apart.alias("y")
+    once = (F.col("y.component") == F.col("y.first")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    rest = one.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & _near("x", "y"))
+    rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    more = written(_verify(written(rest, "near-others"), docs), "links-between")
     # Classes whose ids are shared by several rows hang together through the id.
     same_id = member.filter("doc_id <> of_class").select(F.col("of_class").alias("a"), F.col("doc_id").alias("b"))
     whole = components(links.unionByName(more).unionByName(same_id))
