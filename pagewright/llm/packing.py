@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +29,30 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words that a task remembers with their ids, and the longest that it remembers.
 REMEMBERED, LONG_WORD = 400_000, 64
 #: str.split() without an argument would also split at characters that the tokenizer keeps.
-_SPLIT = str.maketrans("\t\n\r\x0b\x0c", "     ")
+_SPACES = "\t\n\r\x0b\x0c"
 
 
-class WordIds(dict):
-    """word -> its ids as bytes (little-endian unsigned 32-bit), asked of the tokenizer once while remembered.
+class Ids(dict):
+    """A dictionary that asks ``find`` for what it lacks, and forgets all when it is full."""
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in a row.
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find = find
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.find(text)
+        if len(text) <= LONG_WORD:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[text] = found
+        return found
+
+
+class WordIds:
+    """The ids of texts as bytes (little-endian unsigned 32-bit); words and their parts are asked of the tokenizer once.
+
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in a row. A word of
+    common Latin characters, on which its normalisation is lower case alone, is split into the tokenizer's parts here, for
+    most parts occur in many words; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, description: str):
@@ -41,17 +61,47 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_str(description)
         self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, word: str) -> bytes:
-        found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONG_WORD:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = found
-        return found
+        pre = json.loads(description)["pre_tokenizer"]
+        steps = pre["pretokenizers"] if pre and pre["type"] == "Sequence" else []
+        self.parts = None
+        if [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and not steps[1]["use_regex"]:
+            self.parts = regex.compile(steps[0]["pattern"]["Regex"]).findall
+            self.bytes = _byte_characters()
+        self.part_ids, self.word_ids = Ids(self._of_part), Ids(self._of_word)
+
+    @classmethod
+    def of_worker(cls, description: str) -> WordIds:
+        """The one of this process, which outlives a task."""
+        held = cls.__dict__.get("_held")
+        if held is None or held[0] != description:
+            cls._held = held = (description, cls(description))
+        return held[1]
+
+    def _of_part(self, part: str) -> bytes:
+        mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes)
+        ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _of_word(self, word: str) -> bytes:
+        if self.parts and _SIMPLE(word):
+            return b"".join(map(self.part_ids.__getitem__, self.parts(word.lower())))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.translate(_SPLIT).split(" ")))
+        for space in _SPACES:
+            text = text.replace(space, " ")
+        return b"".join(map(self.word_ids.__getitem__, text.split(" ")))
+
+
+#: Visible ASCII, and Latin letters that lower case takes one for one.
+_SIMPLE = regex.compile("[!-~¡-¬®-į]+").fullmatch
+
+
+def _byte_characters() -> dict[int, str]:
+    """The visible character that stands for each byte in byte-level vocabularies: itself where visible, else the next free one from 256."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> DataFrame:
@@ -64,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Da
     description = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(description.value)
+        ids = WordIds.of_worker(description.value)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = defaultdict(list)
