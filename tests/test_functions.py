@@ -1,0 +1,66 @@
+import hashlib
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from pagewright.functions import geometry, markup, model_json, text
+from pagewright.plans.text_queries import KNITS
+from pagewright.sources import files
+
+
+def one(spark, column, **values):
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'string' if isinstance(v, str) or v is None else 'binary'}" for k, v in values.items()))
+    return row.select(column.alias("x")).first()["x"]
+
+
+def test_knit(spark):
+    expected = ["trans", "co-", "co", "two-by-", "Franco-", "1990-", "hard", None, None, "über-"]
+    cases = spark.createDataFrame([(i, *k) for i, k in enumerate(KNITS)], "id int, tail string, lead string, known string")
+    rows = cases.select("id", text.knit(F.col("tail"), F.col("lead"), F.split("known", ",")).alias("x")).orderBy("id").collect()
+    assert [r["x"] for r in rows] == expected
+
+
+@pytest.mark.parametrize("title", ["Crème brûlée & Söhne", "ß x", "", "日本", "A" * 200, "--a--"])
+def test_slug(spark, title):
+    ascii_ = unicodedata.normalize("NFKD", title).encode("ascii", "ignore").decode()
+    parts = "".join(c if c.isalnum() else " " for c in ascii_).lower().split()
+    assert one(spark, text.slug(F.col("t")), t=title) == ("-".join(parts)[:80] or "document")
+
+
+@pytest.mark.parametrize("size", [0, 1, 999_999, 1_000_000, 1_000_001, 2_500_000])
+def test_fingerprint(spark, size):
+    content = bytes(i * 7 % 251 for i in range(1000)) * (size // 1000 + 1)
+    content = content[:size]
+    tail = content[max(1_000_000, size - 1_000_000) :] if size > 1_000_000 else b""
+    expected = hashlib.sha256(str(size).encode() + content[:1_000_000] + tail).hexdigest()[:16]
+    assert one(spark, files.fingerprint(F.col("c")), c=content) == expected
+
+
+def test_model_json(spark):
+    reply = 'Well: {"label": " 3 ", "html": "<p>a .....</p>", "figures": [null, {"id": "fig:x", "bbox": [1, 2, 3], "rotate": 91}]} ok'
+    r = one(spark, model_json.result_of(model_json.json_of(F.col("r"))), r=reply)
+    assert (r["label"], r["skip"], r["html"], r["notes"]) == ("3", False, "<p>a </p>", "")
+    assert [(f["id"], f["bbox"], f["rotate"]) for f in r["figures"]] == [("x", None, 90)]
+    assert one(spark, model_json.json_of(F.col("r")), r="no json here") is None
+
+
+def test_tokens_balance(spark):
+    html = "<ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><td>3</table><p>x<p>y<script>var t='</p>'</script>"
+    open_ = []
+    for t in markup.read_tokens(html):
+        if t["kind"] == "start":
+            assert t["path"] == open_
+            open_.append(t["tag"])
+        elif t["kind"] == "end":
+            assert open_.pop() == t["tag"]
+    assert not open_
+    assert one(spark, markup.text_of(markup.tokens(F.col("h"))), h=html) == "a b 1 2 3 x y"
+    assert one(spark, markup.text_of(markup.tokens(F.col("h"))), h=None) == ""
+
+
+def test_boxes(spark):
+    row = spark.createDataFrame([([10.0, 10.0, 10.4, 900.0],), ([5.0, 1.0, 2.0, 3.0],), (None,)], "b array<double>")
+    found = row.select(geometry.is_box(F.col("b")).alias("ok"), geometry.crop(F.col("b"), F.lit(100), F.lit(100)).alias("c")).collect()
+    assert [r["ok"] for r in found] == [True, False, False]
+    assert tuple(found[0]["c"]) == (1, 1, 2, 90)
