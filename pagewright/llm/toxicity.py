@@ -3,7 +3,7 @@
 Two zstandard dictionaries: one trained on windows of ordinary text, the other holding the same and, closest to the
 window, what toxic text has over and above, its windows of a word that recur in toxic documents and hardly elsewhere. A
 window that compresses better with the second is suspect; how far the most suspect window of a document must stand out is
-calibrated on labelled documents that neither dictionary has seen.
+calibrated on labelled documents that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import fold, table, words, written
 
-HELD_OUT, CALIBRATION = 2, 3
+HELD_OUT, PARTS = 2, (0, 1, 3)
 #: Labelled documents to learn from at most, and windows of ordinary text to train the dictionary on at most.
 MAX_LABELLED, MAX_WINDOWS = 20_000, 20_000
 #: Words in a window.
 WINDOW = 64
+RUN = 64
 DICTIONARY_BYTES = 16_384
 #: A word goes into the toxic dictionary if this share of the toxic documents, and three, have it, and they have it so many
 #: times as often as ordinary ones.
@@ -45,13 +46,16 @@ class Model(NamedTuple):
 
 
 def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
+    """Runs of ``size`` words in lower case; a word longer than RUN characters is cut, so that no window outgrows the compressors'."""
     found = (text or "").lower().split()
+    if any(len(w) > RUN for w in found):
+        found = [w[i : i + RUN] for w in found for i in range(0, len(w), RUN)]
     return [f" {' '.join(found[i : i + size])} ".encode("utf-8", "replace") for i in range(0, len(found), size)]
 
 
 def _compressor(dictionary: bytes, how: dict) -> zstandard.ZstdCompressor:
     parameters = zstandard.ZstdCompressionParameters(
-        window_log=15, hash_log=15, chain_log=15, search_log=3, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS, **how
+        window_log=16, hash_log=15, chain_log=15, search_log=3, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS, **how
     )
     data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     data.precompute_compress(compression_params=parameters)
@@ -84,15 +88,17 @@ def _distances(ordinary: bytes, toxic: bytes) -> object:
 
 
 def rising(toxic: np.ndarray, n: np.ndarray) -> list[float]:
-    """The share of toxic documents at each excess, smoothed by one document at the overall share, made never to fall."""
+    """The share of toxic documents at each excess, smoothed by one document at the overall share, made never to fall; in between where none has it."""
     base = toxic.sum() / max(1, n.sum())
     blocks: list[list[float]] = []
-    for a, b in zip(toxic, n, strict=True):
-        blocks.append([float(a), float(b), 1])
+    seen = np.flatnonzero(n)
+    for i in seen:
+        blocks.append([float(toxic[i]), float(n[i]), 1])
         while len(blocks) > 1 and _share(blocks[-2], base) >= _share(blocks[-1], base):
             last = blocks.pop()
             blocks[-1] = [x + y for x, y in zip(blocks[-1], last, strict=True)]
-    return [_share(block, base) for block in blocks for _ in range(int(block[2]))]
+    shares = [_share(block, base) for block in blocks for _ in range(int(block[2]))]
+    return np.interp(np.arange(len(n)), seen, shares).tolist() if shares else [base] * len(n)
 
 
 def _share(block: list[float], base: float) -> float:
@@ -107,17 +113,8 @@ def _train_dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
-    """(doc_id, text), (doc_id, toxic) -> the model; None if the labels outside the held-out fold lack either class.
-
-    It learns from ``max_labelled`` labelled documents at most, those whose ids hash lowest; a document labelled twice
-    counts as toxic if either label says so.
-    """
-    asked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
-    chosen = asked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    # The broadcast side has max_labelled rows of two numbers.
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", fold(F.col("doc_id"))), "toxicity-sample")
-    fit = sample.filter(F.col("part") != CALIBRATION)
+def _dictionaries(fit: DataFrame) -> tuple[bytes, bytes] | None:
+    """(text, toxic) -> the dictionaries of ordinary and of toxic text; None if either class is missing."""
     n = {r["toxic"]: r["n"] for r in fit.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
@@ -133,12 +130,31 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     base = _train_dictionary([bytes(r[0]) for r in ordinary.collect()])
     extra = b"".join(f" {r['word']} ".encode() for r in contrast)
     # zstandard does not find matches in a dictionary's last bytes.
-    toxic = base + extra[-DICTIONARY_BYTES:] + b" " * 8 if extra else base
-    seen = sample.filter(F.col("part") == CALIBRATION).select("toxic", _distances(base, toxic)("text").alias("excess")).groupBy("excess").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).collect()
+    return base, base + extra[-DICTIONARY_BYTES:] + b" " * 8 if extra else base
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
+    """(doc_id, text), (doc_id, toxic) -> the model; None if the labels outside the held-out fold lack either class.
+
+    It learns from ``max_labelled`` labelled documents at most, those whose ids hash lowest; a document labelled twice
+    counts as toxic if either label says so. The excess of each document that the probabilities are read off is that under
+    dictionaries of the other folds.
+    """
+    asked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
+    chosen = asked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    # The broadcast side has max_labelled rows of two numbers.
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", fold(F.col("doc_id"))), "toxicity-sample")
+    whole = _dictionaries(sample)
+    if whole is None:
+        return None
     counts = np.zeros((2, MOST + 1))
-    for r in seen:
-        counts[:, r["excess"]] = r["a"], r["n"]
-    return Model(base, toxic, rising(*counts))
+    for part in PARTS:
+        found = _dictionaries(sample.filter(F.col("part") != part))
+        if found:
+            excess = _distances(*found)("text").alias("excess")
+            for r in sample.filter(F.col("part") == part).select("toxic", excess).groupBy("excess").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).collect():
+                counts[:, r["excess"]] += r["a"], r["n"]
+    return Model(*whole, rising(*counts))
 
 
 def score(model: Model | None, text: Column) -> Column:
