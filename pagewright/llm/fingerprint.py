@@ -57,26 +57,24 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     return split.withColumn(name, sketch(F.col("_words"))).drop("_words")
 
 
-def with_next(docs: DataFrame, columns: list[str], bucket: int = BUCKET) -> DataFrame:
-    """Each row with these columns of the next in ascending doc_id, named next_*; after the last comes the first.
+def side_by_side(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, text) -> (doc_id, text, _bucket, _guest): the rows dealt to buckets of neighbouring ids, one shuffle of the texts.
 
-    Ids are ordered within buckets of neighbouring ids. The first row of each bucket is also the next of the last row of the
-    bucket before that has any, and the buckets are linked by windows over buckets of buckets in the same way, so that no
-    window orders all rows.
+    The first row of each bucket is a guest at the end of the bucket before that has any, the very first one at the end of the
+    last, so that a window over a bucket finds the next row of each of its own.
     """
-    own = docs.withColumn("_bucket", F.floor(F.col("doc_id") / bucket))
-    order = ["doc_id", *[c for c in columns if c != "doc_id"]]
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    rows = F.struct(*columns)
-    ahead = own.withColumn("_next", F.lead(rows).over(inside)).withColumn("_no", F.row_number().over(inside))
-    firsts = ahead.filter("_no = 1").select(F.col("_bucket").alias("_of"), rows.alias("_first"))
-    names = _following(own.select("_bucket").distinct())
-    joined = ahead.join(names, "_bucket").withColumn("_wanted", F.when(F.col("_next").isNull(), F.col("_after")))
-    # Only the last row of each bucket has a wanted bucket.
-    inner = joined.filter("_wanted is null").select(*docs.columns, "_next")
-    last = joined.filter("_wanted is not null").join(firsts, F.col("_wanted") == F.col("_of")).select(*docs.columns, F.col("_first").alias("_next"))
-    both = inner.unionByName(last)
-    return both.select(*docs.columns, *[F.col("_next").getField(c).alias(f"next_{c}") for c in columns])
+    own = docs.select("doc_id", "text", F.floor(F.col("doc_id") / bucket).alias("_bucket"))
+    firsts = own.groupBy("_bucket").agg(F.min(F.struct("doc_id", "text")).alias("_first"))
+    before = _following(own.select("_bucket").distinct()).withColumnRenamed("_bucket", "_before")
+    guests = firsts.join(before, F.col("_bucket") == F.col("_after")).select("_first.doc_id", "_first.text", F.col("_before").alias("_bucket"), F.lit(True).alias("_guest"))
+    return own.withColumn("_guest", F.lit(False)).unionByName(guests).repartition("_bucket")
+
+
+def with_next(dealt: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows as side_by_side deals them, without the guests, each with these columns of the next in ascending doc_id and text, named next_*; after the last comes the first."""
+    order = Window.partitionBy("_bucket").orderBy("_guest", "doc_id", "text")
+    ahead = dealt.withColumn("_next", F.lead(F.struct(*columns)).over(order)).filter("NOT _guest").drop("_guest", "_bucket")
+    return ahead.select("*", *[F.col("_next").getField(c).alias(f"next_{c}") for c in columns]).drop("_next")
 
 
 def _following(buckets: DataFrame) -> DataFrame:
@@ -104,8 +102,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     id are left out, for they have no place in the order; rows that share one follow each other in the order of their texts.
     """
     plain = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = with_sketch(plain.withColumn("n_chars", F.char_length("text").cast("long")), "text", "sketch")
-    paired = with_next(own, ["doc_id", "text", "sketch"])
+    # Sketches are made after the shuffle, which carries the texts alone.
+    own = with_sketch(side_by_side(plain), "text", "sketch").withColumn("n_chars", F.char_length("text").cast("long"))
+    paired = with_next(own, ["text", "sketch"])
     changed = paired.withColumn("edited", edited(F.col("text"), F.col("n_chars"), F.col("next_text"))).drop("text", "next_text")
     both = with_sketch(changed, "edited", "edited_sketch")
     return both.select(
