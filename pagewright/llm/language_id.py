@@ -30,10 +30,10 @@ UNKNOWN = 1e-7
 #: Words are scored in runs of this many characters at most; a longer one is cut.
 RUN = 24
 LONGEST_PIECE = 12
-#: Distinct words that a task remembers with their scores or counts.
-REMEMBERED = 200_000
-#: Words that are scored together.
-TOGETHER = 100_000
+#: Distinct words that a task counts before it hands them on, and that a worker remembers with their scores.
+COUNTED, REMEMBERED = 200_000, 400_000
+#: Words that are worked on together.
+TOGETHER = 300_000
 HELD_OUT = 2
 
 _BASE, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 21
@@ -156,6 +156,18 @@ def expected(words: list[str], counts: np.ndarray, pieces: Pieces, chance: np.nd
     return total[:-1]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of about so many rows, since words of a length are worked on at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def word_counts(training: DataFrame, languages: list[str]) -> DataFrame:
     """(text, lang) -> (language, word, n): how often each word stands in all texts of each language."""
 
@@ -172,7 +184,7 @@ def word_counts(training: DataFrame, languages: list[str]) -> DataFrame:
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 held[index[lang]].update(runs(text.as_py()))
-                if sum(map(len, held)) > REMEMBERED:
+                if sum(map(len, held)) > COUNTED:
                     yield from flush()
         yield from flush()
 
@@ -207,7 +219,7 @@ def train(docs: DataFrame, pieces: list[str], rounds: int = ROUNDS) -> Model:
         def collect_pieces(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
             known, chance = shared.value
             index, total = Pieces(known), np.zeros((len(known), chance.shape[1]))
-            for batch in batches:
+            for batch in gathered(batches, TOGETHER):
                 language, words, n = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
                 for g in np.unique(language):
                     at = np.flatnonzero(language == g)
@@ -233,6 +245,14 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(languages)))
 
+    @classmethod
+    def of_worker(cls, model: tuple) -> Scorer:
+        """The one of this process, which outlives a task as long as the model, a broadcast, is the same."""
+        held = cls.__dict__.get("_held")
+        if held is None or held[0] is not model:
+            cls._held = held = (model, cls(*model))
+        return held[1]
+
     def rows(self, words: list[str]) -> np.ndarray:
         new = [*set(words).difference(self.known)]
         if len(self.known) + len(new) > REMEMBERED:
@@ -276,7 +296,7 @@ def predict(model: Model, text: Column, spark: SparkSession) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(*shared.value)
+        scorer = Scorer.of_worker(shared.value)
         for texts in batches:
             yield pd.DataFrame(scorer.texts(texts.tolist()), columns=["lang_pred", "score"])
 
