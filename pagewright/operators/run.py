@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.functions import model_json, text
+from pagewright.functions.text import LONGEST_REFUSAL, REFUSALS
 from pagewright.operators import state
 
 REPLIES = T.StructType(
@@ -59,9 +60,9 @@ def replies(prompts: DataFrame, make: Callable[[], Backend], fallback: Callable[
 
 
 def refuses(reply: str) -> bool:
-    """is_refusal for one reply."""
+    """is_refusal for one reply. It runs in tasks, so it names constants only: the module text holds functions that cannot travel."""
     bare = reply.strip().lower()
-    return 0 < len(bare) <= text.LONGEST_REFUSAL and not bare.startswith("{") and any(p in bare for p in text.REFUSALS)
+    return 0 < len(bare) <= LONGEST_REFUSAL and not bare.startswith("{") and any(p in bare for p in REFUSALS)
 
 
 def transcribe(pages: DataFrame, prompts: DataFrame, make: Callable[[], Backend], actor: str, at: Column, fallback: Callable[[], Backend] | None = None) -> DataFrame:
