@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import digest
+from pagewright.functions.text import digest, slug
 from pagewright.operators import exports, run, state
 from pagewright.sources.adapters import pages
 
@@ -51,6 +51,8 @@ def test_updated(spark):
 
 @pytest.mark.parametrize("fallback", [None, run.EchoBackend])
 def test_run(spark, data, fallback):
+    # A text function that has been used holds what cannot travel; a run must not take it along.
+    assert spark.range(1).select(slug(F.lit("Ä b"))).first()[0] == "a-b"
     own = pages(spark, data).filter("doc_id < '3'").withColumns({"changed_by": F.lit(""), "updated_at": F.lit(None).cast("timestamp")})
     body = F.when(F.col("page_index") == 2, "REFUSE").when(F.col("page_index") == 3, "FAIL").otherwise(F.concat(F.lit("page "), "page_index"))
     prompts = own.select("doc_id", "page_index", F.concat(F.lit("Read this."), F.lit("\n\n"), body).alias("prompt"))
