@@ -1,14 +1,22 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries: one trained on windows of ordinary text, the other holding the same and, closest to the
-window, what toxic text has over and above, its windows of a word that recur in toxic documents and hardly elsewhere. A
-window that compresses better with the second is suspect; how far the most suspect window of a document must stand out is
-calibrated on labelled documents that the dictionaries have not seen.
+window, what toxic text has over and above, the words of toxic documents and the beginnings of words that recur within their
+windows, and hardly elsewhere. How many documents a piece must be in does not grow with their number, so that the pieces of
+a language that few documents are in are found too. A window whose words compress better with the second is suspect; how far
+the most suspect window of a document must stand out is calibrated on labelled documents that the dictionaries have not seen.
+
+Words are spelled before they are compressed: a character becomes two bytes that stand for the word up to it, so that a
+piece matches in words that begin with it alone and not in parts. Both dictionaries are of the same length, so that a match
+in what they share costs the same, and few words are compressed at a time, so that a piece counts each time it occurs.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -17,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import fold, table, words, written
+from pagewright.llm.common import fold, table, written
 
 HELD_OUT, PARTS = 2, (0, 1, 3)
 #: Labelled documents to learn from at most, and windows of ordinary text to train the dictionary on at most.
@@ -26,11 +34,17 @@ MAX_LABELLED, MAX_WINDOWS = 20_000, 20_000
 WINDOW = 64
 RUN = 64
 DICTIONARY_BYTES = 16_384
-#: A word goes into the toxic dictionary if this share of the toxic documents, and three, have it, and they have it so many
-#: times as often as ordinary ones.
-MIN_SUPPORT, MIN_LIFT = 0.08, 6.0
-#: Bytes by which the quick compressor must find a window suspect before the thorough one looks at it.
+#: Lengths of the beginnings of words that are counted.
+STEM = (4, 12)
+#: A piece goes into the toxic dictionary if so many toxic documents have it, they have it so many times as often as ordinary
+#: ones, and the log-likelihood ratio of that is so large.
+MIN_SUPPORT, MIN_LIFT, MIN_STRENGTH = 5, 6.0, 16.0
+#: Pieces of the toxic dictionary at most; documents that are counted at a time.
+MAX_PIECES, SLICE = 4096, 500
+#: Bytes by which the quick compressor must find a window suspect before the thorough one looks at its groups of words.
 SCREEN = 2
+#: Words in a group, and the bytes saved in it from which it counts.
+GROUP, LEAST = 4, 5
 MOST = 40
 THRESHOLD = 0.3
 _QUICK = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 4}
@@ -45,12 +59,42 @@ class Model(NamedTuple):
     probability: list[float]
 
 
-def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
-    """Runs of ``size`` words in lower case; a word longer than RUN characters is cut, so that no window outgrows the compressors'."""
+def cut_words(text: str | None) -> list[str]:
+    """The words of a text in lower case; one longer than RUN characters is cut, so that no window outgrows the compressors'."""
     found = (text or "").lower().split()
     if any(len(w) > RUN for w in found):
         found = [w[i : i + RUN] for w in found for i in range(0, len(w), RUN)]
-    return [f" {' '.join(found[i : i + size])} ".encode("utf-8", "replace") for i in range(0, len(found), size)]
+    return found
+
+
+@lru_cache(1 << 16)
+def _spelled(word: str) -> bytes:
+    """Two bytes for each character, of the checksum of the word up to it."""
+    out, so_far = bytearray(), 0
+    for c in word:
+        so_far = zlib.crc32(c.encode("utf-8", "replace"), so_far)
+        out += (so_far & 0xFFFF).to_bytes(2, "little")
+    return bytes(out)
+
+
+def spelled(found: list[str]) -> bytes:
+    return b" " + b" ".join(map(_spelled, found)) + b" "
+
+
+def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
+    """Runs of ``size`` words, spelled."""
+    found = cut_words(text)
+    return [spelled(found[i : i + size]) for i in range(0, len(found), size)]
+
+
+def pieces(text: str | None) -> set[str]:
+    """The words of a text, between spaces, and the beginnings that two words or more of a window share, after a space."""
+    found = cut_words(text)
+    out = {f" {w} " for w in found}
+    for i in range(0, len(found), WINDOW):
+        starts = Counter(w[:k] for w in found[i : i + WINDOW] for k in range(STEM[0], min(STEM[1], len(w)) + 1))
+        out.update(f" {s}" for s, n in starts.items() if n > 1)
+    return out
 
 
 def _compressor(dictionary: bytes, how: dict) -> zstandard.ZstdCompressor:
@@ -63,7 +107,7 @@ def _compressor(dictionary: bytes, how: dict) -> zstandard.ZstdCompressor:
 
 
 class Distance:
-    """The most bytes that the toxic dictionary saves over the ordinary one in any window of a text, 0 to MOST."""
+    """The most bytes that the toxic dictionary saves over the ordinary one in the groups of words of any window of a text, 0 to MOST."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.quick, self.thorough = [[_compressor(d, how).compress for d in (ordinary, toxic)] for how in (_QUICK, _THOROUGH)]
@@ -71,9 +115,14 @@ class Distance:
     def __call__(self, text: str | None) -> int:
         most = 0
         (plain, toxic), (plain_2, toxic_2) = self.quick, self.thorough
-        for window in windows(text):
+        found = cut_words(text)
+        for i in range(0, len(found), WINDOW):
+            own = found[i : i + WINDOW]
+            window = spelled(own)
             if len(plain(window)) - len(toxic(window)) >= SCREEN:
-                most = max(most, len(plain_2(window)) - len(toxic_2(window)))
+                groups = [spelled(own[j : j + GROUP]) for j in range(0, len(own), GROUP)]
+                saved = [len(plain_2(g)) - len(toxic_2(g)) for g in groups]
+                most = max(most, sum(x for x in saved if x >= LEAST))
         return min(most, MOST)
 
 
@@ -113,14 +162,42 @@ def _train_dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-def _dictionaries(fit: DataFrame) -> tuple[bytes, bytes] | None:
-    """(text, toxic) -> the dictionaries of ordinary and of toxic text; None if either class is missing."""
+def _counted(sample: DataFrame) -> DataFrame:
+    """(text, toxic, part) -> (piece, a_0, b_0, ...): the toxic and the ordinary documents of each part that have the piece; the pieces of MIN_SUPPORT toxic ones."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), SLICE):
+                rows = batch.iloc[lo : lo + SLICE]
+                found = Counter((p, part, toxic) for text, toxic, part in zip(rows["text"], rows["toxic"], rows["part"], strict=True) for p in pieces(text))
+                yield pd.DataFrame([(*key, n) for key, n in found.items()], columns=["piece", "part", "toxic", "n"])
+
+    some = sample.select("text", "toxic", "part").mapInPandas(count, "piece string, part int, toxic int, n long")
+    sums = [F.sum(F.when((F.col("part") == part) & (F.col("toxic") == toxic), F.col("n")).otherwise(0)).alias(f"{name}_{part}") for part in PARTS for toxic, name in ((1, "a"), (0, "b"))]
+    return some.groupBy("piece").agg(*sums).filter(sum(F.col(f"a_{part}") for part in PARTS) >= MIN_SUPPORT)
+
+
+def _contrast(counted: DataFrame, parts: tuple[int, ...], n: dict[int, int]) -> bytes:
+    """The pieces of toxic text that hold in these parts, spelled, the strongest last. A piece that begins with a stronger one, or the other way round, is left out."""
+    a, b = (sum(F.col(f"{name}_{part}") for part in parts) for name in "ab")
+    held = counted.select("piece", a.alias("a"), (b + 1).alias("b")).filter((F.col("a") >= MIN_SUPPORT) & (F.col("a") / n[1] >= MIN_LIFT * F.col("b") / n[0]))
+    share = n[1] / (n[0] + n[1])
+    strength = sum(2 * F.col(x) * F.log(F.col(x) / ((F.col("a") + F.col("b")) * s)) for x, s in (("a", share), ("b", 1 - share)))
+    rows = held.withColumn("strength", F.round(strength, 6)).filter(F.col("strength") >= MIN_STRENGTH)
+    chosen: list[str] = []
+    for row in rows.orderBy(F.desc("strength"), F.desc(F.length("piece")), "piece").limit(MAX_PIECES).collect():
+        piece = row["piece"]
+        if not any(piece.startswith(c.rstrip(" ")) or c.startswith(piece) for c in chosen):
+            chosen.append(piece)
+    return b"".join(b" " + _spelled(p.strip(" ")) + b" " * p.endswith(" ") for p in reversed(chosen))
+
+
+def _dictionaries(sample: DataFrame, counted: DataFrame, parts: tuple[int, ...]) -> tuple[bytes, bytes] | None:
+    """The dictionaries of ordinary and of toxic text, learned from these parts; None if either class is missing."""
+    fit = sample.filter(F.col("part").isin(*parts))
     n = {r["toxic"]: r["n"] for r in fit.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
-    support = fit.select("toxic", F.explode(F.array_distinct(words(F.lower("text")))).alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    # Few words reach the support: their number is at most the distinct words of a toxic document over MIN_SUPPORT.
-    contrast = support.filter((F.col("a") >= max(3, MIN_SUPPORT * n[1])) & (F.col("a") / n[1] >= MIN_LIFT * (F.col("b") + 1) / n[0])).orderBy("a", "word").limit(4096).collect()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -128,9 +205,9 @@ def _dictionaries(fit: DataFrame) -> tuple[bytes, bytes] | None:
 
     ordinary = fit.filter("toxic = 0").select("text").mapInPandas(cut, "window binary").orderBy(F.xxhash64("window"), "window").limit(MAX_WINDOWS)
     base = _train_dictionary([bytes(r[0]) for r in ordinary.collect()])
-    extra = b"".join(f" {r['word']} ".encode() for r in contrast)
+    extra = _contrast(counted, parts, n)[-DICTIONARY_BYTES:]
     # zstandard does not find matches in a dictionary's last bytes.
-    return base, base + extra[-DICTIONARY_BYTES:] + b" " * 8 if extra else base
+    return base + bytes(len(extra)) + b" " * 8, base + extra + b" " * 8
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
@@ -144,12 +221,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     chosen = asked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # The broadcast side has max_labelled rows of two numbers.
     sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", fold(F.col("doc_id"))), "toxicity-sample")
-    whole = _dictionaries(sample)
+    counted = written(_counted(sample), "toxicity-pieces")
+    whole = _dictionaries(sample, counted, PARTS)
     if whole is None:
         return None
     counts = np.zeros((2, MOST + 1))
     for part in PARTS:
-        found = _dictionaries(sample.filter(F.col("part") != part))
+        found = _dictionaries(sample, counted, tuple(p for p in PARTS if p != part))
         if found:
             excess = _distances(*found)("text").alias("excess")
             for r in sample.filter(F.col("part") == part).select("toxic", excess).groupBy("excess").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).collect():

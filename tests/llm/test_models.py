@@ -75,6 +75,27 @@ def test_toxicity(spark, docs_of):
     assert toxicity.keep_ordinary(docs_of(rows), labelled(spark, labels)).columns == docs_of(rows).columns
 
 
+def test_toxicity_of_a_small_language(spark, docs_of):
+    """Toxic words of one document in twenty of the toxic ones, each made of the same beginning and another ending, are learned too."""
+    rng = np.random.default_rng(1)
+    common = {"en": [f"word{i}" for i in range(300)], "xx": [f"{a}{b}" for a in ("mira", "tolu", "sefa", "quen") for b in ("lan", "dor", "vit", "zel", "pon", "gar")]}
+    rows, labels = [], []
+    for i in range(1600):
+        lang, toxic = "xx" if i % 8 == 0 else "en", int(i % 5 == 0)
+        body = list(rng.choice(common[lang], 60))
+        if toxic and lang == "xx":
+            for at in (7, 23, 41):
+                body[at] = "grumo" + "".join(rng.choice(list("bcdflmnprst"), 3))
+        elif toxic:
+            body[7], body[31] = "dreadfulness", "abominable"
+        rows.append((i, " ".join(body), lang, "s"))
+        labels.append((i, 1, toxic))
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.assess(docs_of(rows), labelled(spark, labels)).collect()}
+    held = [i for i in range(0, 1600, 8) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(out[i] for i in held if i % 5 == 0) >= 0.9 * sum(i % 5 == 0 for i in held) > 0
+    assert sum(out[i] for i in held if i % 5) <= 0.05 * len(held)
+
+
 def test_rising_never_falls():
     got = toxicity.rising(np.array([1, 0, 5, 2, 0]), np.array([50, 20, 9, 4, 0]))
     assert got == sorted(got) and all(0 <= p <= 1 for p in got)
