@@ -28,6 +28,7 @@ from functools import reduce
 from operator import add
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ PARITY_LONGS = 16
 COMMON, MAX_COMMON = 32, 262_144
 #: Bits of the filter of candidate ids, a power of two: what is broadcast is at most this long.
 MAX_FILTER_BITS = 1 << 26
+#: Shingles of a block of sets, about; each block of a component is held against each.
+BLOCK_SHINGLES = 1 << 19
 
 
 def band_limits(most: int) -> np.ndarray:
@@ -215,20 +218,19 @@ def _verify(near: DataFrame, docs: DataFrame) -> DataFrame:
     return met.filter(100 * shared >= 75 * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, component_id), one row for each document.
-
-    component_id is the least doc_id reachable by links, itself included. Documents without words link with nothing. Rows
-    without an id have no component. Rows that share an id are one node with the links of all.
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) -> (doc_id, n_shingles, set_a, set_b, component_id), one row for each document; the classes of equal sets,
+    (n, set_a, set_b, of_class, size), of_class being the least id of the rows and size their number.
 
     Documents with equal sets are one class, joined once. Of the documents that meet in a cell, each is first held against the
     least only; documents that still are not in one component are then held against each other, so that no link between
     components is lost while a large group of copies costs one comparison a copy.
     """
     all_sets = written(sketches(docs), "sketches")
-    classes = all_sets.filter("n > 0 and doc_id is not null").groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("of_class"))
+    classes = all_sets.filter("n > 0 and doc_id is not null").groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("of_class"), F.count("*").alias("size"))
+    classes = written(classes, "class-sizes")
     member = all_sets.select("doc_id", "n", "set_a", "set_b").join(classes, ["n", "set_a", "set_b"], "left")
-    member = written(member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("of_class", "doc_id").alias("of_class")), "classes")
+    member = written(member.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b", F.coalesce("of_class", "doc_id").alias("of_class")), "classes")
     sets = written(all_sets.join(classes.select(F.col("of_class").alias("doc_id")).distinct(), "doc_id", "left_semi"), "class-sets")
 
     keys = cell_keys(sets, common_shingles(sets))
@@ -255,7 +257,90 @@ def join(docs: DataFrame) -> DataFrame:
     same_id = member.filter("doc_id <> of_class").select(F.col("of_class").alias("a"), F.col("doc_id").alias("b"))
     whole = components(links.unionByName(more).unionByName(same_id))
     out = member.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", "set_a", "set_b", F.coalesce("component", "doc_id").alias("component_id")), classes
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, n_shingles, component_id), one row for each document.
+
+    component_id is the least doc_id reachable by links, itself included. Documents without words link with nothing. Rows
+    without an id have no component. Rows that share an id are one node with the links of all.
+    """
+    return _joined(docs)[0].select("doc_id", "n_shingles", "component_id")
+
+
+def _compared(docs: DataFrame, joined: DataFrame, classes: DataFrame, pairs: bool) -> DataFrame:
+    """All linked pairs of classes (a, b), with size_a and size_b; or, without pairs, (of_class, n, set_a, set_b, linked): the documents
+    of the classes that link with a class, as partial sums.
+
+    All links are inside components: each class of a component is held against each other one of it, a block of sets against
+    a block, so that no task has more than two blocks and no pair that does not link leaves it. Copies are not expanded.
+    """
+    of = joined.filter("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("of_class"), F.col("component_id").alias("component")).distinct()
+    placed = written(classes.join(of, "of_class"), "placed-classes")
+    several = placed.groupBy("component").agg(F.count("*").alias("n_classes"), F.sum("n").alias("shingles")).filter("n_classes > 1")
+    blocks = several.select("component", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = written(placed.join(blocks, "component"), "classes-to-compare")
+    sets = _sets_of(docs, placed.select(F.col("of_class").alias("doc_id")).distinct())
+    # Rows that share an id have different sets: the right one has the size and the exclusive or of the class.
+    sets = sets.select(F.col("doc_id").alias("of_class"), F.size("hashes").cast("long").alias("n"), F.aggregate("hashes", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias("set_a"), "hashes")
+    full = placed.join(sets, ["of_class", "n", "set_a"]).dropDuplicates(["of_class", "n", "set_a", "set_b"])
+    dealt = full.withColumn("block", F.pmod(F.xxhash64("of_class", "set_b"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    names = ["of_class", "n", "set_a", "set_b"]
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n", ignore_index=True)
+        n, size, block = rows["n"].to_numpy(), rows["size"].to_numpy(), rows["block"].to_numpy()
+        values, ids = np.unique(np.concatenate(rows["hashes"].to_list()), return_inverse=True)
+        ends = np.cumsum(n)
+        mark = np.zeros(len(values), np.int32)
+        linked, ones, others = np.zeros(len(n), np.int64), [], []
+        for i in range(len(n)):
+            # Larger sets, or those behind it, that sizes allow to link.
+            last = int(np.searchsorted(4 * n[i + 1 :], 4 * n[i] * 4 // 3, "right")) + i + 1
+            if last == i + 1:
+                continue
+            own = ids[ends[i] - n[i] : ends[i]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[ids[ends[i] : ends[last - 1]]], ends[i : last - 1] - ends[i], dtype=np.int64)
+            mark[own] = 0
+            links = 100 * shared >= 75 * (n[i] + n[i + 1 : last] - shared)
+            if key[1] != key[2]:
+                links &= block[i + 1 : last] != block[i]
+            found = np.flatnonzero(links) + i + 1
+            linked[i] += size[found].sum()
+            linked[found] += size[i]
+            if pairs:
+                ones.append(np.full(len(found), i))
+                others.append(found)
+        if not pairs:
+            return rows[names].assign(linked=linked)[linked > 0]
+        one, other = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (ones, others))
+        a, b, sizes = rows["of_class"].to_numpy()[one], rows["of_class"].to_numpy()[other], (size[one], size[other])
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "size_a": np.where(a <= b, *sizes), "size_b": np.where(a <= b, *sizes[::-1])})
+
+    schema = "a long, b long, size_a long, size_b long" if pairs else "of_class long, n long, set_a long, set_b long, linked long"
+    return dealt.select("component", "low", "high", "block", "size", "hashes", *names).groupBy("component", "low", "high").applyInPandas(compare, schema)
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (a, b, size_a, size_b): the pairs of different sets that link, by the least ids that have them, and how many documents do."""
+    return _compared(docs, *_shared(docs), pairs=True)
+
+
+def join_counted(docs: DataFrame) -> DataFrame:
+    """What join returns and n_links: the other rows with an id whose sets link with the row's own, equal ones included; none for rows without words or id."""
+    joined, classes = _shared(docs)
+    sums = _compared(docs, joined, classes, pairs=False).groupBy("of_class", "n", "set_a", "set_b").agg(F.sum("linked").alias("linked"))
+    weights = classes.join(sums, ["of_class", "n", "set_a", "set_b"], "left").select(F.col("n").alias("n_shingles"), "set_a", "set_b", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    out = joined.join(weights, ["n_shingles", "set_a", "set_b"], "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+
+
+def _shared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    joined, classes = _joined(docs)
+    return written(joined, "joined"), classes
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -265,4 +350,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join_counted(table(spark, sf_dir, "documents"))

@@ -94,6 +94,36 @@ def test_on_documents(spark, data):
     assert found(docs) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def brute_links(rows):
+    sets = [(i, frozenset(shingle_set(t))) for i, t in rows if i is not None]
+    counts = Counter()
+    pairs = set()
+    for k, (i, s) in enumerate(sets):
+        for j, t in sets[:k]:
+            shared = len(s & t)
+            if s and t and 100 * shared >= 75 * (len(s) + len(t) - shared):
+                counts[i] += 1
+                counts[j] += 1
+                if s != t:
+                    pairs.add((s, t))
+                    pairs.add((t, s))
+    return counts, len(pairs) // 2
+
+
+@pytest.mark.parametrize("block", [400, 1 << 19])
+def test_links_against_brute_force(docs_of, monkeypatch, block):
+    """All links inside a group count, those between different near copies too, in one block or in many."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
+    rows = corpus(5)
+    counts, n_pairs = brute_links(rows)
+    docs = docs_of([(i, t, "en", "s") for i, t in rows] + [(None, rows[0][1], "en", "s")])
+    out = ngram_join.join_counted(docs).collect()
+    assert {r["doc_id"]: r["n_links"] for r in out if r["doc_id"] is not None} == {i: counts[i] for i, _ in rows}
+    assert [r["n_links"] for r in out if r["doc_id"] is None] == [0] and len(out) == len(rows) + 1
+    found = ngram_join.links(docs)
+    assert found.count() == found.select("a", "b").distinct().count() == n_pairs
+
+
 def test_edges(docs_of):
     text = "one two three four five six seven"
     rows = [(5, text, "en", "a"), (5, text, "en", "a"), (3, text.upper(), None, None), (None, text, "en", "a"), (9, None, "en", "a"), (8, "", "en", "a")]
