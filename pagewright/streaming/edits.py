@@ -47,12 +47,21 @@ def outcomes(edits: DataFrame) -> DataFrame:
     if edits.isStreaming:
         return edits.groupBy("doc_id", "page_index").applyInPandasWithState(settle, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
-    def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("event_id", ignore_index=True)
-        found, _ = decide([None if pd.isna(b) else int(b) for b in frame["base_version"]], 0)
-        return pd.DataFrame({"doc_id": key[0], "page_index": key[1], "event_id": frame["event_id"], "version": [v for v, _ in found], "outcome": [o for _, o in found]})
-
-    return edits.groupBy("doc_id", "page_index").applyInPandas(whole, _OUT)
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, version = None, 0
+        for frame in frames:
+            found = []
+            for doc_id, index, base in zip(frame["doc_id"], frame["page_index"], frame["base_version"], strict=True):
+                own = (None if pd.isna(doc_id) else doc_id, None if pd.isna(index) else int(index))
+                if own != page:
+                    page, version = own, 0
+                outcome, version = decide([None if pd.isna(base) else int(base)], version)
+                found += outcome
+            yield frame[["doc_id", "page_index", "event_id"]].assign(version=[v for v, _ in found], outcome=[o for _, o in found])
+
+    # Rows of a page follow each other in one partition, so that a task holds a frame and a version, however long the page's history.
+    lined_up = edits.select("doc_id", "page_index", "event_id", "base_version").repartition("doc_id", "page_index")
+    return lined_up.sortWithinPartitions("doc_id", "page_index", F.asc_nulls_last("event_id")).mapInPandas(whole, _OUT)
 
 
 def latest(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -68,7 +77,15 @@ def throughput(events: DataFrame, window: str = "6 hours", late: str = "1 hour")
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that a stream has now, taken through it to the end, as a table in memory."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """All that a stream has now, taken through it to the end, as Parquet files beside its checkpoint: no row goes through the driver."""
+    rows = f"{checkpoint}-rows"
+
+    def keep(batch: DataFrame, n: int) -> None:
+        # A batch that is run again takes its own place; in complete mode each holds all rows.
+        batch.write.mode("overwrite").parquet(rows if mode == "complete" else f"{rows}/batch-{n}")
+
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(rows if mode == "complete" else f"{rows}/none")
+    query = stream.writeStream.foreachBatch(keep).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(rows if mode == "complete" else f"{rows}/*")
