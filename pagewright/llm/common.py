@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = context._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -49,5 +52,18 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4, F.lit(0)).cast("int")
 
 
+def bounded_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """The rows of df, or where they are more than ``most``, those whose keys hash below the share that makes it so many.
+
+    No row is ordered or collected. The share is six standard deviations below ``most``, so that it is a bound as long as no
+    key stands for many rows. Rows with equal keys are in or out together.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    share = max(0.0, most - 6 * math.sqrt(most)) / n
+    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,8 +1,9 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash space, so that its size follows the document's, the
-sketch of a union is the union of the sketches, and similarity and containment are estimated from the kept hashes alone,
-however unequal two documents are. All of it is DataFrame functions.
+A sketch keeps every shingle hash below a fixed fraction of the hash space, so that its size follows the document's, and
+similarity and containment are estimated from the kept hashes alone, however unequal two documents are. Of a short text, with
+few hashes below, it keeps the least ones up to a floor instead, so that a text of few shingles is kept whole. The sketch of a
+union follows from the sketches. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ SHINGLE = 5
 #: A hash is kept if its first hexadecimal digit is below this one: a quarter of them.
 BELOW = "4"
 HEX_DIGITS = 16
+#: Where fewer distinct hashes than this are below, the least so many of all are kept.
+FLOOR = 64
 #: Neighbouring ids that one window orders.
 BUCKET = 512
 
 
-def sketch(words: Column) -> Column:
-    """The sorted kept hashes of an array of words, distinct. Of fewer than five words the whole sequence is one shingle; none has none."""
+def shingle_hashes(words: Column) -> Column:
+    """The distinct hashes of an array of words. Of fewer than five words the whole sequence is one shingle; none has none."""
     n = F.size(words)
     hashes = F.when(
         n >= SHINGLE,
@@ -29,24 +32,44 @@ def sketch(words: Column) -> Column:
             F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.substring(F.md5(F.concat_ws(" ", *[F.get(words, i - 1 + k) for k in range(SHINGLE)])), 1, HEX_DIGITS)
         ),
     ).otherwise(F.when(n > 0, F.array(F.substring(F.md5(F.array_join(words, " ")), 1, HEX_DIGITS))).otherwise(F.array().cast("array<string>")))
-    return F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < BELOW)))
+    return F.array_distinct(hashes)
+
+
+def sketch(hashes: Column) -> Column:
+    """The kept ones of distinct hashes, sorted."""
+    below = F.filter(hashes, lambda h: h < BELOW)
+    return F.when(F.size(below) >= FLOOR, F.array_sort(below)).otherwise(F.slice(F.array_sort(hashes), 1, FLOOR))
+
+
+def _reach(kept: Column) -> Column:
+    """The hash up to which a sketch has all hashes of its set; beyond any if it has the whole set."""
+    last_below = chr(ord(BELOW) - 1) + "f" * (HEX_DIGITS - 1)
+    return F.when(F.size(kept) < FLOOR, "g").otherwise(F.greatest(F.lit(last_below), F.element_at(kept, F.greatest(F.size(kept), F.lit(1)))))
+
+
+def _common(one: Column, other: Column) -> tuple[Column, Column]:
+    """Two sketches as far as both reach."""
+    reach = F.least(_reach(one), _reach(other))
+    return F.filter(one, lambda h: h <= reach), F.filter(other, lambda h: h <= reach)
 
 
 def likeness(one: Column, other: Column) -> Column:
-    """The Jaccard similarity of the sets that two sketches stand for; 1 if both are empty."""
-    shared = F.size(F.array_intersect(one, other))
-    either = F.size(one) + F.size(other) - shared
+    """The Jaccard similarity of the sets that two sketches stand for, from the hashes as far as both reach; 1 if both sets are empty."""
+    a, b = _common(one, other)
+    shared = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - shared
     return F.when(either > 0, shared / either).otherwise(F.lit(1.0))
 
 
 def containment(one: Column, other: Column) -> Column:
-    """The share of the first set that is in the second; 1 if the first sketch is empty."""
-    return F.when(F.size(one) > 0, F.size(F.array_intersect(one, other)) / F.size(one)).otherwise(F.lit(1.0))
+    """The share of the first set that is in the second, from the hashes as far as both reach; 1 if there are none of the first."""
+    a, b = _common(one, other)
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(1.0))
 
 
 def merged(one: Column, other: Column) -> Column:
     """The sketch of the union."""
-    return F.array_sort(F.array_union(one, other))
+    return sketch(F.array_union(one, other))
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -54,7 +77,8 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     # The words must be a column before a lambda refers to them, else they are split again for each shingle; a
     # generator keeps the two projections apart.
     split = df.withColumn("_words", F.explode(F.array(F.array_remove(F.split(text, SPACE), ""))))
-    return split.withColumn(name, sketch(F.col("_words"))).drop("_words")
+    hashed = split.withColumn("_hashes", F.explode(F.array(shingle_hashes(F.col("_words"))))).drop("_words")
+    return hashed.withColumn(name, sketch(F.col("_hashes"))).drop("_hashes")
 
 
 def side_by_side(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -122,14 +146,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-_SKETCH = """list_sort(list_distinct(list_filter(
+_HASHES = """list_sort(list_distinct(
     CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: substr(md5(w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4]), 1, 16))
-         WHEN len(w) > 0 THEN [substr(md5(array_to_string(w, ' ')), 1, 16)] ELSE [] END, lambda h: h < '4')))"""
+         WHEN len(w) > 0 THEN [substr(md5(array_to_string(w, ' ')), 1, 16)] ELSE [] END))"""
+_SKETCH = "CASE WHEN len(list_filter(a, lambda h: h < '4')) >= 64 THEN list_filter(a, lambda h: h < '4') ELSE a[1:64] END"
+_REACH = "CASE WHEN len({0}) < 64 THEN 'g' ELSE greatest('3fffffffffffffff', {0}[len({0})]) END"
+
+
+def _near_sql(other: str) -> str:
+    reach = f"least({_REACH.format('sketch')}, {_REACH.format(other)})"
+    return f"list_filter(sketch, lambda h: h <= {reach}) AS a_{other}, list_filter({other}, lambda h: h <= {reach}) AS b_{other}"
+
+
+def _likeness_sql(other: str) -> str:
+    shared = f"len(list_intersect(a_{other}, b_{other}))"
+    either = f"(len(a_{other}) + len(b_{other}) - {shared})"
+    return f"CASE WHEN {either} > 0 THEN CAST({shared} AS DOUBLE) / {either} ELSE 1.0 END"
+
 
 OP9_SQL = f"""
 WITH plain AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM documents WHERE doc_id IS NOT NULL),
 own AS (
-  SELECT doc_id, text, n_chars, {_SKETCH} AS sketch FROM (SELECT *, regexp_extract_all(text, '[^ \\t-\\r]+') AS w FROM plain)),
+  SELECT doc_id, text, n_chars, {_SKETCH} AS sketch FROM (SELECT *, {_HASHES} AS a FROM (SELECT *, regexp_extract_all(text, '[^ \\t-\\r]+') AS w FROM plain))),
 paired AS (
   SELECT *, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next_text,
          coalesce(lead(sketch) OVER o, first_value(sketch) OVER o) AS next_sketch
@@ -137,12 +175,11 @@ paired AS (
 changed AS (
   SELECT *, substr(text, 1, CAST(n_chars - n_chars // 4 AS BIGINT)) || substr(next_text, 1, CAST(n_chars // 4 AS BIGINT)) AS edited FROM paired),
 done AS (
-  SELECT *, {_SKETCH} AS edited_sketch FROM (SELECT *, regexp_extract_all(edited, '[^ \\t-\\r]+') AS w FROM changed)),
+  SELECT *, {_SKETCH} AS edited_sketch FROM (SELECT *, {_HASHES} AS a FROM (SELECT *, regexp_extract_all(edited, '[^ \\t-\\r]+') AS w FROM changed))),
 met AS (
-  SELECT *, len(list_intersect(sketch, edited_sketch)) AS with_edited, len(list_intersect(sketch, next_sketch)) AS with_next FROM done)
+  SELECT *, {_near_sql("edited_sketch")}, {_near_sql("next_sketch")} FROM done)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(sketch, '') AS fingerprint,
        array_to_string(edited_sketch, '') AS edited_fingerprint,
-       CASE WHEN len(sketch) + len(edited_sketch) > 0 THEN CAST(with_edited AS DOUBLE) / (len(sketch) + len(edited_sketch) - with_edited) ELSE 1.0 END AS near_edited,
-       CASE WHEN len(sketch) + len(next_sketch) > 0 THEN CAST(with_next AS DOUBLE) / (len(sketch) + len(next_sketch) - with_next) ELSE 1.0 END AS near_next
+       {_likeness_sql("edited_sketch")} AS near_edited, {_likeness_sql("next_sketch")} AS near_next
 FROM met
 """

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import table, written
+from pagewright.llm.common import bounded_sample, table, written
 from pagewright.llm.shingles import mix64, word_hashes
 
 BUCKETS = 10_000
@@ -24,9 +24,6 @@ MAX_LABELLED = 20_000
 KEEP = 0.8
 #: Added to each bucket's count in both models.
 SMOOTHING = 1.0
-#: N-grams that a document's weight counts at most: the models take n-grams for independent, so that the plain product over a
-#: long text would be certain of anything.
-TEMPER = 64
 SEED = "resample-1"
 #: Keys that the search for the threshold brings to the driver at most.
 FEW = 10_000
@@ -59,8 +56,9 @@ def models(docs: DataFrame, target: DataFrame) -> np.ndarray:
                 total[1] += np.bincount(bucket[is_target[owner]], minlength=BUCKETS)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(range(BUCKETS), pa.int32()), "raw": total[0], "target": total[1]})
 
-    named = target.select(F.col("doc_id").alias("_id")).distinct()
-    flagged = docs.join(F.broadcast(named), F.col("doc_id") == F.col("_id"), "left").select(F.col("text").cast("string").alias("text"), F.col("_id").isNotNull().alias("is_target"))
+    named = target.select(F.col("doc_id").alias("target_id")).distinct()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    flagged = texts.join(F.broadcast(named), F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("is_target"))
     sums = flagged.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     found = np.full((2, BUCKETS), SMOOTHING)
     for batch in sums.toArrow().to_batches():
@@ -70,7 +68,7 @@ def models(docs: DataFrame, target: DataFrame) -> np.ndarray:
 
 
 def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_grams, log_weight): the mean log ratio of its n-grams, times their number or TEMPER; 0 without words."""
+    """(doc_id, text) -> (doc_id, n_grams, log_weight): the summed log ratios of its n-grams; 0 without words."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +77,7 @@ def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 part = batch.slice(lo, 1000)
                 bucket, owner = _buckets(part.column(1))
                 n = np.bincount(owner, minlength=part.num_rows)
-                total = np.bincount(owner, shared.value[bucket], part.num_rows)
-                weight = total / np.maximum(n, 1) * np.minimum(n, TEMPER)
+                weight = np.bincount(owner, shared.value[bucket], part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(weight, pa.float64())], ["doc_id", "n_grams", "log_weight"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(weigh, "doc_id long, n_grams long, log_weight double")
@@ -120,7 +117,8 @@ def resample(docs: DataFrame, target: DataFrame, keep: float = KEEP, seed: str =
     """(doc_id, text), (doc_id) -> (doc_id, n_grams, log_weight, key, kept), one row for each document.
 
     kept marks the ``keep`` share of the documents, rounded up, with the largest keys, and any that tie with the last of them.
-    Null and empty texts weigh as much as average text, log weight 0. Without a target all documents do.
+    Null and empty texts weigh as much as average text, log weight 0. Without a target all documents do but for the smoothing.
+    Rows that share an id, or have none, share the noise of that id; rows of a target id are all of the target.
     """
     weighed = log_weights(docs, models(docs, target)).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed))
     weighed = written(weighed, "resample-keys")
@@ -132,7 +130,7 @@ def resample(docs: DataFrame, target: DataFrame, keep: float = KEEP, seed: str =
 def target_of(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The ids of documents labelled to be of quality, max_labelled of them at most, by hash of the id."""
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    return bounded_sample(good, max_labelled, "doc_id")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,12 +29,13 @@ SMOOTHING = 0.5
 UNKNOWN = 1e-7
 #: Words are scored in runs of this many characters at most; a longer one is cut.
 RUN = 24
-LONGEST_PIECE = 12
-#: Distinct words that a task counts before it hands them on, and that a worker remembers with their scores.
-COUNTED, REMEMBERED = 200_000, 400_000
+#: Distinct words that a task counts before it hands them on, and that it remembers with their scores.
+COUNTED, REMEMBERED = 100_000, 150_000
 #: Words that are worked on together.
-TOGETHER = 300_000
+TOGETHER = 100_000
 HELD_OUT = 2
+#: A model is refused if there are more languages than this: what comes to the driver grows with their number.
+MAX_LANGUAGES = 1000
 
 _BASE, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 21
 
@@ -45,17 +46,17 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).replace("▁", "").lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
-    return sorted(p for p in found if 0 < len(p) <= LONGEST_PIECE)
+    return sorted(p for p in found if 0 < len(p) <= RUN)
 
 
 class Pieces:
     """The vocabulary with vectorised look-up of all substrings of many equally long words."""
 
     def __init__(self, pieces: list[str]):
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces), default=0)
         self.hash = np.zeros(self.n + 1, np.uint64)
         self.tables = [np.full(1 << _SLOTS, self.n, np.int32) for _ in range(2)]
-        for length in range(1, LONGEST_PIECE + 1):
+        for length in range(1, self.longest + 1):
             of = [i for i, p in enumerate(pieces) if len(p) == length]
             codes = codes_of([pieces[i] for i in of], length)
             value = np.zeros(len(of), np.uint64)
@@ -88,7 +89,7 @@ class Pieces:
         out = {}
         for start in range(length):
             value = np.zeros(len(codes), np.uint64)
-            for end in range(start + 1, min(length, start + LONGEST_PIECE) + 1):
+            for end in range(start + 1, min(length, start + self.longest) + 1):
                 value = value * _BASE + codes[:, end - 1]
                 ids = self.ids(value)
                 if (ids < self.n).any():
@@ -108,12 +109,12 @@ def runs(text: str) -> list[str]:
     return found
 
 
-def forward(spans: dict, length: int, n: int, chance: np.ndarray) -> list[np.ndarray]:
+def forward(spans: dict, length: int, n: int, longest: int, chance: np.ndarray) -> list[np.ndarray]:
     """chance: (pieces + 1) x languages, the last row 0. For each end, the summed probability of all segmentations up to it."""
     alpha = [np.ones((n, chance.shape[1]))]
     for end in range(1, length + 1):
         total = alpha[end - 1] * UNKNOWN
-        for start in range(max(0, end - LONGEST_PIECE), end):
+        for start in range(max(0, end - longest), end):
             if (ids := spans.get((start, end))) is not None:
                 total = total + alpha[start] * chance[ids]
         alpha.append(total)
@@ -132,7 +133,7 @@ def log_scores(words: list[str], pieces: Pieces, chance: np.ndarray) -> np.ndarr
     for length, at in by_length(words):
         for part in np.array_split(at, -(-len(at) // 4096)):
             codes = codes_of([words[i] for i in part], length)
-            out[part] = np.log(forward(pieces.spans(codes), length, len(part), chance)[length])
+            out[part] = np.log(forward(pieces.spans(codes), length, len(part), pieces.longest, chance)[length])
     return out
 
 
@@ -142,11 +143,11 @@ def expected(words: list[str], counts: np.ndarray, pieces: Pieces, chance: np.nd
     for length, at in by_length(words):
         for part in np.array_split(at, -(-len(at) // 4096)):
             spans = pieces.spans(codes_of([words[i] for i in part], length))
-            alpha = [a[:, 0] for a in forward(spans, length, len(part), chance[:, None])]
+            alpha = [a[:, 0] for a in forward(spans, length, len(part), pieces.longest, chance[:, None])]
             beta = [np.zeros(len(part))] * length + [np.ones(len(part))]
             for start in range(length - 1, -1, -1):
                 sum_ = beta[start + 1] * UNKNOWN
-                for end in range(start + 1, min(length, start + LONGEST_PIECE) + 1):
+                for end in range(start + 1, min(length, start + pieces.longest) + 1):
                     if (ids := spans.get((start, end))) is not None:
                         sum_ = sum_ + chance[ids] * beta[end]
                 beta[start] = sum_
@@ -207,7 +208,9 @@ def train(docs: DataFrame, pieces: list[str], rounds: int = ROUNDS) -> Model:
     """
     spark = docs.sparkSession
     training = docs.filter((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = sorted(r[0] for r in training.select("lang").distinct().collect())
+    languages = sorted(r[0] for r in training.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     start = np.full(len(pieces), 1.0 / max(1, len(pieces)))
     chance = np.vstack([np.repeat(start[:, None], len(languages), 1), np.zeros((1, len(languages)))])
     if not languages:
@@ -233,26 +236,18 @@ def train(docs: DataFrame, pieces: list[str], rounds: int = ROUNDS) -> Model:
             chance[batch.column(0).to_numpy(), batch.column(1).to_numpy()] += batch.column(2).to_numpy()
         chance[-1] = 0
         chance /= chance.sum(0)
-        shared.unpersist()
+        shared.destroy()
     return Model(languages, pieces, chance)
 
 
 class Scorer:
-    """Scores texts, many at a time; remembers the words it has seen."""
+    """Scores texts, many at a time; remembers up to REMEMBERED words."""
 
     def __init__(self, languages: list[str], pieces: list[str], chance: np.ndarray):
         self.languages, self.pieces, self.chance = languages, Pieces(pieces), chance
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(languages)))
 
-    @classmethod
-    def of_worker(cls, model: tuple) -> Scorer:
-        """The one of this process, which outlives a task as long as the model, a broadcast, is the same."""
-        held = cls.__dict__.get("_held")
-        if held is None or held[0] is not model:
-            cls._held = held = (model, cls(*model))
-        return held[1]
-
     def rows(self, words: list[str]) -> np.ndarray:
         new = [*set(words).difference(self.known)]
         if len(self.known) + len(new) > REMEMBERED:
@@ -296,7 +291,8 @@ def predict(model: Model, text: Column, spark: SparkSession) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer.of_worker(shared.value)
+        # Of this task alone: what it remembers goes with it, for a worker lives on.
+        scorer = Scorer(*shared.value)
         for texts in batches:
             yield pd.DataFrame(scorer.texts(texts.tolist()), columns=["lang_pred", "score"])
 
@@ -310,17 +306,22 @@ def default_vocabulary() -> list[str]:
 
 
 def identify(docs: DataFrame, pieces: list[str]) -> DataFrame:
-    """(doc_id, text, lang) -> (doc_id, held_out, lang_pred, score), one row for each document."""
+    """(doc_id, text, lang) -> (doc_id, held_out, lang_pred, score), one row for each document, repeated ids included.
+
+    A null id falls in fold 0. Between languages of the same score the first in code point order wins.
+    """
     model = train(docs, pieces)
     scored = docs.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), predict(model, F.col("text"), docs.sparkSession).alias("_p"))
     return scored.select("doc_id", "held_out", "_p.lang_pred", "_p.score")
 
 
 def keep_identified(docs: DataFrame, pieces: list[str], least: float = 0.5) -> DataFrame:
-    """The documents whose language is found, with a posterior probability of at least ``least``."""
-    model = train(docs, pieces)
-    scored = docs.withColumn("_p", predict(model, F.col("text"), docs.sparkSession))
-    return scored.filter((F.col("_p.lang_pred") != UNDETERMINED) & (F.col("_p.score") >= least)).select(*docs.columns)
+    """The documents whose language is found, with a posterior probability of at least ``least``, and their own columns whatever these are named.
+
+    Null and letterless texts go. Rows that share an id, or have none, are judged each by its text. If nothing can be learned, all go.
+    """
+    found = predict(train(docs, pieces), F.col("text"), docs.sparkSession)
+    return docs.filter((found["lang_pred"] != UNDETERMINED) & (found["score"] >= least))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

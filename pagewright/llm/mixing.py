@@ -50,7 +50,9 @@ def targets(
         .withColumn("level", (F.col("asked") / 100.0 - F.col("caps_before")) / F.col("weight_left"))
         .withColumn("holds", F.col("level") * F.col("weight") <= F.col("cap"))
     )
-    level = F.min(F.when(F.col("holds"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(every)
+    # In the order of the window above, for of sources that reach their cap at the same level the first is the one that holds.
+    first = F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"), F.col("level").alias("level"))
+    level = F.min(F.when(F.col("holds"), first)).over(every)
     return (
         placed.withColumn("reached", level.getField("level"))
         .withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("reached") * F.col("weight"), F.col("cap").cast("double"))))
@@ -72,8 +74,9 @@ def mix(
     """(doc_id, source, text, ...) -> (doc_id, size, source_size, target, taken, copies), one row for each document.
 
     taken is a multiple of the document's size, and at most ``max_epochs`` times it. The words taken of a source differ
-    from its target by less than one document. Empty and null texts have size 0 and are taken no times beyond the whole
-    epochs; a null source is a source. Documents that share an id share their place in the order. Reruns agree.
+    from its target by less than one document. Empty and null texts have size 0, so that nothing is taken of them, and are
+    copied as their place in the order says; a null source is a source. Documents that share an id share their place in the
+    order, in which the smaller of them comes first. Reruns agree.
 
     The order within a source runs over buckets of the hash, whose sizes are summed first, so that no source is ever
     ordered in one task; only a (source, bucket) is.
@@ -109,10 +112,14 @@ def mix(
 
 
 def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns. Rows that share an id are all taken alike."""
-    taken = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    joined = docs.withColumnRenamed("doc_id", "_id").join(taken, F.col("_id").eqNullSafe(F.col("doc_id"))).filter("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The mix itself: each document as often as it is taken, with its own columns whatever these are named.
+
+    Rows that share an id, or have none, are all taken alike. Of an empty table nothing is taken.
+    """
+    taken = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(taken, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +143,7 @@ placed AS (
   FROM weighed
   WINDOW before AS (ORDER BY CAST(cap AS DOUBLE) / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT *, (CAST(asked AS DOUBLE) / 100.0::DOUBLE - caps_before) / weight_left AS level FROM placed),
-reached AS (SELECT level AS reached FROM levels WHERE level * weight <= cap ORDER BY CAST(cap AS DOUBLE) / weight, level LIMIT 1),
+reached AS (SELECT level AS reached FROM levels WHERE level * weight <= cap ORDER BY CAST(cap AS DOUBLE) / weight, source IS NULL, source LIMIT 1),
 aims AS (
   SELECT source, source_size,
          least(CAST(cap AS DOUBLE), coalesce((SELECT reached FROM reached) * weight, CAST(cap AS DOUBLE))) AS target

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import struct
@@ -23,11 +24,11 @@ SEQUENCE = 2048
 END_ID = 0
 #: Pieces that one task packs together; more than this and the pieces are dealt to more groups.
 GROUP = 4096
-#: A sequence with fewer free tokens is not looked at again.
-OPEN_FREE = 8
+#: Underfull sequences are packed anew as long as a round has filled those of one piece in so many.
+WORTH = 8
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a task remembers with their ids, and the longest that it remembers.
-REMEMBERED, LONG_WORD = 400_000, 64
+#: Words, and parts of words, that a task remembers with their ids, and the longest that it remembers.
+REMEMBERED, LONG_WORD = 150_000, 64
 #: str.split() without an argument would also split at characters that the tokenizer keeps.
 _SPACES = "\t\n\r\x0b\x0c"
 
@@ -48,7 +49,8 @@ class Ids(dict):
 
 
 class WordIds:
-    """The ids of texts as bytes (little-endian unsigned 32-bit); words and their parts are asked of the tokenizer once.
+    """The ids of texts as bytes (little-endian unsigned 32-bit), as the tokenizer by default gives them; words and their parts
+    are asked of it once.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in a row. A word of
     common Latin characters, on which its normalisation is lower case alone, is split into the tokenizer's parts here, for
@@ -60,8 +62,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(description)
-        self.tokenizer.encode_special_tokens = True
-        pre = json.loads(description)["pre_tokenizer"]
+        parsed = json.loads(description)
+        # Texts that hold one of these are split at it before anything else.
+        self.added = [t["content"] for t in parsed.get("added_tokens") or []]
+        pre = parsed["pre_tokenizer"]
         steps = pre["pretokenizers"] if pre and pre["type"] == "Sequence" else []
         self.parts = None
         if [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and not steps[1]["use_regex"]:
@@ -69,14 +73,6 @@ class WordIds:
             self.bytes = _byte_characters()
         self.part_ids, self.word_ids = Ids(self._of_part), Ids(self._of_word)
 
-    @classmethod
-    def of_worker(cls, description: str) -> WordIds:
-        """The one of this process, which outlives a task."""
-        held = cls.__dict__.get("_held")
-        if held is None or held[0] != description:
-            cls._held = held = (description, cls(description))
-        return held[1]
-
     def _of_part(self, part: str) -> bytes:
         mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes)
         ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
@@ -88,6 +84,9 @@ class WordIds:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: str) -> bytes:
+        lower = text.lower()
+        if any(t in text or t in lower for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         for space in _SPACES:
             text = text.replace(space, " ")
         return b"".join(map(self.word_ids.__getitem__, text.split(" ")))
@@ -114,7 +113,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Da
     description = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds.of_worker(description.value)
+        # Of this task alone: what it remembers goes with it, for a worker lives on.
+        ids = WordIds(description.value)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = defaultdict(list)
@@ -135,117 +135,133 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 NAMES = PIECES.names
 
 
-class Bins:
-    """Sequences being filled, and an index from free tokens to the sequences that have just so many."""
-
-    def __init__(self, sequence: int):
-        self.sequence, self.items, self.free = sequence, [], []
-        self.with_free: list[set[int]] = [set() for _ in range(sequence + 1)]
-        self.mask = 0  # bit f is set if a sequence has f tokens free
-
-    def _place(self, b: int) -> None:
-        self.with_free[self.free[b]].add(b)
-        self.mask |= 1 << self.free[b]
-
-    def _lift(self, b: int) -> None:
-        f = self.free[b]
-        self.with_free[f].discard(b)
-        if not self.with_free[f]:
-            self.mask &= ~(1 << f)
-
-    def tightest(self, length: int) -> int | None:
-        """The fullest sequence with room for so many tokens, the earliest among equals."""
-        fits = self.mask >> length
-        return min(self.with_free[length + (fits & -fits).bit_length() - 1]) if fits else None
-
-    def add(self, lengths: list[int], item: int) -> None:
-        b = self.tightest(lengths[item])
-        if b is None:
-            b = len(self.items)
-            self.items.append([])
-            self.free.append(self.sequence)
-        else:
-            self._lift(b)
-        self.items[b].append(item)
-        self.free[b] -= lengths[item]
-        self._place(b)
-
-    def change(self, b: int, out: list[int], into: list[int], lengths: list[int]) -> None:
-        self._lift(b)
-        for i in out:
-            self.items[b].remove(i)
-        self.items[b] += into
-        self.free[b] += sum(lengths[i] for i in out) - sum(lengths[i] for i in into)
-        self._place(b)
-
-
-def pack_group(lengths: list[int], sequence: int = SEQUENCE, patience: int = 4) -> list[int]:
-    """The sequence of each piece. lengths: in the order in which ties shall fall.
-
-    Best fit in decreasing order first. Then the emptiest sequence is taken apart as far as it goes: each of its pieces
-    moves to the fullest sequence with room, or is exchanged for one shorter piece, or two of them for one, of a sequence
-    that thereby becomes fuller. Each step moves tokens from an emptier to a fuller sequence, so the sum of the squared
-    fills grows and the search ends; a sequence that loses its last piece is gone. After ``patience`` sequences in a row
-    that could not be emptied it stops.
-    """
-    bins = Bins(sequence)
+def best_fit(lengths: list[int], sequence: int = SEQUENCE) -> list[list[int]]:
+    """Pieces in decreasing order, each into the fullest sequence with room for it, the earliest among equals."""
+    bins: list[list[int]] = []
+    with_free: list[list[int]] = [[] for _ in range(sequence + 1)]
+    mask = 0  # bit f is set if a sequence has f tokens free
     for item in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        bins.add(lengths, item)
-    least = -(-sum(lengths) // sequence)
-    failed = 0
-    closed: set[int] = set()
-    while failed < patience and sum(map(bool, bins.items)) > least:
-        open_bins = [b for b, items in enumerate(bins.items) if items and b not in closed]
-        if not open_bins:
-            break
-        source = max(open_bins, key=lambda b: (bins.free[b], b))
-        bins._lift(source)
-        while _step(bins, source, lengths):
-            pass
-        if bins.items[source]:
-            closed.add(source)
-            failed += 1
-            bins._place(source)
+        fits = mask >> lengths[item]
+        if fits:
+            free = lengths[item] + (fits & -fits).bit_length() - 1
+            b = heapq.heappop(with_free[free])
+            if not with_free[free]:
+                mask &= ~(1 << free)
         else:
-            failed = 0
+            b, free = len(bins), sequence
+            bins.append([])
+        bins[b].append(item)
+        heapq.heappush(with_free[free - lengths[item]], b)
+        mask |= 1 << (free - lengths[item])
+    return bins
+
+
+class Pool:
+    """The sequences that pieces may be taken from: for each length, and each sum of two lengths, those that have it."""
+
+    def __init__(self) -> None:
+        self.having: tuple[dict[int, set[int]], dict[int, set[int]]] = (defaultdict(set), defaultdict(set))
+        self.mask = [0, 0]  # bit n is set if a sequence has one piece, or two pieces, of n tokens
+
+    def add(self, b: int, stock: dict[int, list[int]]) -> None:
+        for kind, sums in enumerate((stock, _pairs(stock))):
+            for n in sums:
+                self.having[kind][n].add(b)
+                self.mask[kind] |= 1 << n
+
+    def remove(self, b: int, stock: dict[int, list[int]]) -> None:
+        for kind, sums in enumerate((stock, _pairs(stock))):
+            for n in sums:
+                self.having[kind][n].discard(b)
+                if not self.having[kind][n]:
+                    self.mask[kind] &= ~(1 << n)
+
+    def largest(self, kind: int, most: int) -> int:
+        """The largest length, or sum, of ``most`` at most; -1 if there is none."""
+        return (self.mask[kind] & ((1 << (most + 1)) - 1)).bit_length() - 1
+
+
+def _pairs(stock: dict[int, list[int]]) -> dict[int, tuple[int, int]]:
+    """Sum -> two lengths of a sequence's pieces that make it up. It has few distinct lengths, for they add up to its tokens."""
+    different = sorted(stock)
+    return {x + y: (x, y) for i, x in enumerate(different) for y in different[i:] if x < y or len(stock[x]) > 1}
+
+
+def _exchange(pool: Pool, stock: dict[int, list[int]], free: int) -> tuple[int, tuple[int, ...], int, int] | None:
+    """The exchange that fills a sequence most: (tokens gained, lengths that it gives, 0 or 1 for one or two pieces that it gets, their tokens)."""
+    best = None
+    ones = [(0, ())] + [(n, (n,)) for n in stock]
+    for kind, given in ((0, ones), (0, _pairs(stock).items()), (1, ones)):
+        for out, lengths in given:
+            got = pool.largest(kind, out + free)
+            if got > out and (best is None or got - out > best[0]):
+                best = (got - out, lengths, kind, got)
+                if best[0] == free:
+                    return best
+    return best
+
+
+def improve(bins: list[list[int]], lengths: list[int], sequence: int = SEQUENCE) -> list[list[int]]:
+    """Local search: exchanges between two underfull sequences until none helps.
+
+    A sequence takes a piece from an emptier one, or one for one, one for two, or two for one of its own, as long as it
+    thereby becomes fuller; of all such exchanges with any emptier sequence the one that fills it most is made. The fullest is
+    filled first. Each exchange moves tokens from an emptier to a fuller sequence, so that the sum of the squared fills grows
+    and the search ends; sequences that lose their last piece are gone. Passes over all underfull sequences are repeated until
+    one changes nothing.
+    """
+    stocks: list[dict[int, list[int]]] = []
+    for items in bins:
+        stock: dict[int, list[int]] = defaultdict(list)
+        for i in items:
+            stock[lengths[i]].append(i)
+        stocks.append(stock)
+    free = [sequence - sum(lengths[i] for i in items) for items in bins]
+    changed = True
+    while changed:
+        changed = False
+        pool, order = Pool(), sorted((b for b, stock in enumerate(stocks) if stock and free[b]), key=lambda b: (free[b], b))
+        for b in order:
+            pool.add(b, stocks[b])
+        waiting = [(free[b], b) for b in order]
+        heapq.heapify(waiting)
+        while waiting:
+            was, b = heapq.heappop(waiting)
+            if was != free[b] or not stocks[b]:
+                continue
+            pool.remove(b, stocks[b])
+            while free[b] and (found := _exchange(pool, stocks[b], free[b])):
+                gained, out, kind, got = found
+                other = max(pool.having[kind][got], key=lambda x: (free[x], x))
+                into = _pairs(stocks[other])[got] if kind else (got,)
+                pool.remove(other, stocks[other])
+                moved = [(_take(stocks[b], n), b, other) for n in out] + [(_take(stocks[other], n), other, b) for n in into]
+                for i, _, to in moved:
+                    stocks[to][lengths[i]].append(i)
+                free[b] -= gained
+                free[other] += gained
+                pool.add(other, stocks[other])
+                heapq.heappush(waiting, (free[other], other))
+                changed = True
+    return [[i for items in stock.values() for i in items] for stock in stocks if stock]
+
+
+def _take(stock: dict[int, list[int]], length: int) -> int:
+    item = stock[length].pop()
+    if not stock[length]:
+        del stock[length]
+    return item
+
+
+def pack_group(lengths: list[int], sequence: int = SEQUENCE) -> list[int]:
+    """The sequence of each piece, by best fit and local search. lengths: in the order in which ties shall fall."""
     where = [0] * len(lengths)
-    for b, items in enumerate(bins.items):
+    for b, items in enumerate(improve(best_fit(lengths, sequence), lengths, sequence)):
         for i in items:
             where[i] = b
     return where
 
 
-def _step(bins: Bins, source: int, lengths: list[int], looked_at: int = 64) -> bool:
-    """One move or exchange out of source, which is not in the index; False if none helps."""
-    own = sorted(bins.items[source], key=lambda i: -lengths[i])
-
-    def give(out: list[int], back: list[int], b: int) -> bool:
-        bins.change(b, back, out, lengths)
-        for i in out:
-            bins.items[source].remove(i)
-        bins.items[source] += back
-        bins.free[source] += sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-        return True
-
-    for i in own:
-        if (b := bins.tightest(lengths[i])) is not None:
-            return give([i], [], b)
-    roomy = sorted((b for f in range(1, bins.sequence) if bins.mask >> f & 1 for b in bins.with_free[f]), key=lambda b: (-bins.free[b], b))[:looked_at]
-    for b in roomy:
-        theirs = bins.items[b]
-        for i in own:
-            fits = [j for j in theirs if 0 < lengths[i] - lengths[j] <= bins.free[b]]
-            if fits:
-                return give([i], [min(fits, key=lambda j: lengths[j])], b)
-        for x, i in enumerate(own):
-            for k in own[x + 1 :]:
-                both = lengths[i] + lengths[k]
-                fits = [j for j in theirs if 0 < both - lengths[j] <= bins.free[b]]
-                if fits:
-                    return give([i, k], [min(fits, key=lambda j: lengths[j])], b)
-    return False
-
-
 def _packed(df: DataFrame, groups: int, round_no: int, sequence: int) -> DataFrame:
     """One round: pieces are dealt to groups by a hash, each group is packed in one task."""
 
@@ -267,8 +283,8 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, group:
 
     Full pieces are sequences of their own. The others are dealt evenly, by a hash, to groups of about ``group`` pieces;
     each is packed by one task. The pieces of sequences that are still underfull are dealt anew, to ever fewer groups,
-    until one group holds them all or a round no longer closes any. Repeated rows, ids included, are packed as documents
-    of their own. Reruns agree.
+    until one group holds them all or a round has filled the sequences of fewer than one piece in WORTH. Repeated rows, ids
+    included, are packed as documents of their own. A text of any length is one document. Reruns agree.
     """
     cut = written(pieces(docs, tokenizer_path, sequence), "pack-pieces")
     whole = cut.filter(F.col("length") == sequence).select(
@@ -280,12 +296,12 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, group:
     while n:
         groups = -(-n // group)
         placed = written(_packed(left, groups, round_no, sequence), "pack-round")
-        still = placed.filter(F.col("free") >= OPEN_FREE)
+        still = placed.filter("free > 0")
         m = still.count() if groups > 1 else 0
-        if m >= n or groups == 1:
+        if groups == 1 or WORTH * (n - m) < n:
             done.append(placed.drop("free"))
             break
-        done.append(placed.filter(F.col("free") < OPEN_FREE).drop("free"))
+        done.append(placed.filter("free = 0").drop("free"))
         left, n, round_no = still, m, round_no + 1
     out = done[0]
     for part in done[1:]:

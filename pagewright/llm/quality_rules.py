@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import SPACE, table, written
+from pagewright.llm.common import SPACE, bounded_sample, table, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -159,9 +159,13 @@ def cover(x: dict[str, np.ndarray], bad: np.ndarray, growing: np.ndarray) -> lis
 
 
 def learn(measures: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[list[Condition]]:
-    """The decision list for quality 0, from the labelled documents that pass the base rules; at most max_labelled, by hash of the id."""
+    """The decision list for quality 0, from the labelled documents that pass the base rules; at most max_labelled, by hash of the id.
+
+    A document labelled twice counts as poor if either label says so. Of conditions that gain as much the first feature, the
+    lowest cut and ``>=`` win; of prunings that are as precise the longest.
+    """
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    chosen = measures.filter(~base_failed()).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    chosen = bounded_sample(measures.filter(~base_failed()).join(known, "doc_id"), max_labelled, "doc_id").orderBy("doc_id", *FEATURES)
     rows = chosen.select("quality", F.pmod(F.xxhash64(F.lit("grow"), "doc_id"), F.lit(3)).alias("part"), *FEATURES).collect()
     x = {f: np.array([r[f] for r in rows], float) for f in FEATURES}
     return cover(x, np.array([r["quality"] == 0 for r in rows], bool), np.array([r["part"] != 0 for r in rows], bool))

@@ -1,14 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries: one trained on windows of ordinary text, the other holding the same and, closest to the
-window, what toxic text has over and above, the words of toxic documents and the beginnings of words that recur within their
-windows, and hardly elsewhere. How many documents a piece must be in does not grow with their number, so that the pieces of
-a language that few documents are in are found too. A window whose words compress better with the second is suspect; how far
-the most suspect window of a document must stand out is calibrated on labelled documents that the dictionaries have not seen.
-
-Words are spelled before they are compressed: a character becomes two bytes that stand for the word up to it, so that a
-piece matches in words that begin with it alone and not in parts. Both dictionaries are of the same length, so that a match
-in what they share costs the same, and few words are compressed at a time, so that a piece counts each time it occurs.
+Two zstandard dictionaries, both trained: one on windows of ordinary text, the other on windows of toxic text. Most of a toxic
+document is ordinary, so that its windows are chosen: a word stands out if it begins with a piece, a whole word or a beginning
+that several words near each other share, that many toxic documents have and ordinary ones hardly do. How many documents must
+have a piece does not grow with their number, so that those of a language with few documents are found too. A window of four
+words is compressed with the ordinary dictionary and with the same followed by the toxic one; how many bytes a document's
+windows must save in all is calibrated on labelled documents that neither dictionary has seen.
+
+Words are spelled before they are compressed: a character becomes two bytes that stand for the word up to it, so that what
+matches is the beginning of a word, whole words included, and not any part. Both dictionaries are of the same length, so
+that a match costs the same in either.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -25,34 +27,33 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import fold, table, written
+from pagewright.llm.common import bounded_sample, fold, table, written
 
 HELD_OUT, PARTS = 2, (0, 1, 3)
-#: Labelled documents to learn from at most, and windows of ordinary text to train the dictionary on at most.
+#: Labelled documents to learn from at most, and windows to train each dictionary on at most.
 MAX_LABELLED, MAX_WINDOWS = 20_000, 20_000
-#: Words in a window.
-WINDOW = 64
+#: Words in a window that is compared, in one that the ordinary dictionary is trained on, and in one whose words may share a beginning.
+WINDOW, TRAINED, NEAR = 4, 16, 64
+#: The characters at which a word is cut.
 RUN = 64
-DICTIONARY_BYTES = 16_384
+#: Bytes of the dictionaries.
+PLAIN_BYTES, TOXIC_BYTES = 16_384, 4096
+#: For the toxic one the trainer looks at segments of so many bytes, scored by how often runs of so many recur.
+SEGMENT, RECURRING = 24, 8
 #: Lengths of the beginnings of words that are counted.
 STEM = (4, 12)
-#: A piece goes into the toxic dictionary if so many toxic documents have it, they have it so many times as often as ordinary
-#: ones, and the log-likelihood ratio of that is so large.
-MIN_SUPPORT, MIN_LIFT, MIN_STRENGTH = 5, 6.0, 16.0
-#: Pieces of the toxic dictionary at most; documents that are counted at a time.
-MAX_PIECES, SLICE = 4096, 500
-#: Bytes by which the quick compressor must find a window suspect before the thorough one looks at its groups of words.
-SCREEN = 2
-#: Words in a group, and the bytes saved in it from which it counts.
-GROUP, LEAST = 4, 5
-MOST = 40
+#: A piece stands out if so many toxic documents have it, they have it so many times as often as ordinary ones, and the
+#: log-likelihood ratio of that is so large. Documents that are counted at a time.
+MIN_SUPPORT, MIN_LIFT, MIN_STRENGTH, SLICE = 5, 6.0, 16.0, 500
+#: Bytes that the toxic dictionary must save in a window for it to count.
+COUNTS = 5
+#: Steps of a doubling of the measure, and how many there are; the last is out of reach of any text.
+STEPS, LEVELS = 12, 512
 THRESHOLD = 0.3
-_QUICK = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 4}
-_THOROUGH = {"strategy": zstandard.STRATEGY_BTOPT, "min_match": 3}
 
 
 class Model(NamedTuple):
-    """The two dictionaries, and the probability that a document is toxic for each excess from 0 to MOST."""
+    """The two dictionaries, and the probability that a document is toxic at each level of the measure."""
 
     ordinary: bytes
     toxic: bytes
@@ -60,14 +61,14 @@ class Model(NamedTuple):
 
 
 def cut_words(text: str | None) -> list[str]:
-    """The words of a text in lower case; one longer than RUN characters is cut, so that no window outgrows the compressors'."""
+    """The words of a text in lower case; one longer than RUN characters is cut."""
     found = (text or "").lower().split()
     if any(len(w) > RUN for w in found):
         found = [w[i : i + RUN] for w in found for i in range(0, len(w), RUN)]
     return found
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 15)
 def _spelled(word: str) -> bytes:
     """Two bytes for each character, of the checksum of the word up to it."""
     out, so_far = bytearray(), 0
@@ -77,29 +78,15 @@ def _spelled(word: str) -> bytes:
     return bytes(out)
 
 
-def spelled(found: list[str]) -> bytes:
-    return b" " + b" ".join(map(_spelled, found)) + b" "
-
-
 def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
-    """Runs of ``size`` words, spelled."""
-    found = cut_words(text)
-    return [spelled(found[i : i + size]) for i in range(0, len(found), size)]
+    """Runs of ``size`` words, spelled, each word between spaces."""
+    found = [_spelled(w) for w in cut_words(text)]
+    return [b" " + b" ".join(found[i : i + size]) + b" " for i in range(0, len(found), size)]
 
 
-def pieces(text: str | None) -> set[str]:
-    """The words of a text, between spaces, and the beginnings that two words or more of a window share, after a space."""
-    found = cut_words(text)
-    out = {f" {w} " for w in found}
-    for i in range(0, len(found), WINDOW):
-        starts = Counter(w[:k] for w in found[i : i + WINDOW] for k in range(STEM[0], min(STEM[1], len(w)) + 1))
-        out.update(f" {s}" for s, n in starts.items() if n > 1)
-    return out
-
-
-def _compressor(dictionary: bytes, how: dict) -> zstandard.ZstdCompressor:
+def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     parameters = zstandard.ZstdCompressionParameters(
-        window_log=16, hash_log=15, chain_log=15, search_log=3, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS, **how
+        window_log=16, hash_log=16, chain_log=16, search_log=4, min_match=3, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
     )
     data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     data.precompute_compress(compression_params=parameters)
@@ -107,37 +94,28 @@ def _compressor(dictionary: bytes, how: dict) -> zstandard.ZstdCompressor:
 
 
 class Distance:
-    """The most bytes that the toxic dictionary saves over the ordinary one in the groups of words of any window of a text, 0 to MOST."""
+    """Compares the compressed lengths of windows under the ordinary and the toxic dictionary."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.quick, self.thorough = [[_compressor(d, how).compress for d in (ordinary, toxic)] for how in (_QUICK, _THOROUGH)]
-
-    def __call__(self, text: str | None) -> int:
-        most = 0
-        (plain, toxic), (plain_2, toxic_2) = self.quick, self.thorough
-        found = cut_words(text)
-        for i in range(0, len(found), WINDOW):
-            own = found[i : i + WINDOW]
-            window = spelled(own)
-            if len(plain(window)) - len(toxic(window)) >= SCREEN:
-                groups = [spelled(own[j : j + GROUP]) for j in range(0, len(own), GROUP)]
-                saved = [len(plain_2(g)) - len(toxic_2(g)) for g in groups]
-                most = max(most, sum(x for x in saved if x >= LEAST))
-        return min(most, MOST)
-
-
-def _distances(ordinary: bytes, toxic: bytes) -> object:
-    @F.pandas_udf("int")
-    def distance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = Distance(ordinary, toxic)
-        for texts in batches:
-            yield pd.Series([of(t) for t in texts], dtype="int32")
+        # zstandard does not find matches in a dictionary's last bytes.
+        self.plain, self.toxic = (_compressor(ordinary + d + b" " * 8).compress for d in (bytes(len(toxic)), toxic))
+
+    def saved(self, found: list[bytes]) -> np.ndarray:
+        """For each window the bytes that the toxic dictionary saves; fewer than none where it is worse."""
+        plain, toxic = self.plain, self.toxic
+        return np.fromiter((len(plain(w)) - len(toxic(w)) for w in found), np.int64, len(found))
 
-    return distance
+    def level(self, text: str | None) -> int:
+        """The bytes saved in all different windows that count, over the root of their number, in logarithmic steps; 0 without words."""
+        saved = self.saved(list(set(windows(text))))
+        if not len(saved):
+            return 0
+        measure = saved[saved >= COUNTS].sum() / np.sqrt(len(saved))
+        return min(int(STEPS * np.log2(1 + measure)), LEVELS - 1)
 
 
 def rising(toxic: np.ndarray, n: np.ndarray) -> list[float]:
-    """The share of toxic documents at each excess, smoothed by one document at the overall share, made never to fall; in between where none has it."""
+    """The share of toxic documents at each level, smoothed by one document at the overall share, made never to fall; in between where none has it."""
     base = toxic.sum() / max(1, n.sum())
     blocks: list[list[float]] = []
     seen = np.flatnonzero(n)
@@ -154,12 +132,20 @@ def _share(block: list[float], base: float) -> float:
     return (block[0] + base) / (block[1] + 1)
 
 
-def _train_dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary, or the samples themselves where they are too few to train on."""
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-DICTIONARY_BYTES:]
+def pieces(text: str | None) -> set[str]:
+    """The words of a text, between spaces, and the beginnings that two words or more near each other share, after a space."""
+    found = cut_words(text)
+    out = {f" {w} " for w in found}
+    least, most = STEM
+    for i in range(0, len(found), NEAR):
+        # Words with the same beginning stand next to each other once sorted.
+        for a, b in pairwise(sorted(found[i : i + NEAR])):
+            if a[:least] == b[:least]:
+                k = least
+                while k <= min(most, len(a), len(b)) and a[:k] == b[:k]:
+                    out.add(" " + a[:k])
+                    k += 1
+    return out
 
 
 def _counted(sample: DataFrame) -> DataFrame:
@@ -177,83 +163,141 @@ def _counted(sample: DataFrame) -> DataFrame:
     return some.groupBy("piece").agg(*sums).filter(sum(F.col(f"a_{part}") for part in PARTS) >= MIN_SUPPORT)
 
 
-def _contrast(counted: DataFrame, parts: tuple[int, ...], n: dict[int, int]) -> bytes:
-    """The pieces of toxic text that hold in these parts, spelled, the strongest last. A piece that begins with a stronger one, or the other way round, is left out."""
+def _standing_out(counted: DataFrame, parts: tuple[int, ...], n: dict[int, int]) -> list[str]:
+    """The pieces that stand out in these parts; one that begins with another of them adds nothing and is left out.
+
+    A piece is in MIN_SUPPORT of the sampled documents at least, so that their number is bounded with the sample.
+    """
     a, b = (sum(F.col(f"{name}_{part}") for part in parts) for name in "ab")
     held = counted.select("piece", a.alias("a"), (b + 1).alias("b")).filter((F.col("a") >= MIN_SUPPORT) & (F.col("a") / n[1] >= MIN_LIFT * F.col("b") / n[0]))
     share = n[1] / (n[0] + n[1])
     strength = sum(2 * F.col(x) * F.log(F.col(x) / ((F.col("a") + F.col("b")) * s)) for x, s in (("a", share), ("b", 1 - share)))
-    rows = held.withColumn("strength", F.round(strength, 6)).filter(F.col("strength") >= MIN_STRENGTH)
     chosen: list[str] = []
-    for row in rows.orderBy(F.desc("strength"), F.desc(F.length("piece")), "piece").limit(MAX_PIECES).collect():
-        piece = row["piece"]
-        if not any(piece.startswith(c.rstrip(" ")) or c.startswith(piece) for c in chosen):
+    for (piece,) in held.filter(strength >= MIN_STRENGTH).select("piece").orderBy("piece").toLocalIterator():
+        if not chosen or not piece.startswith(chosen[-1]):
             chosen.append(piece)
-    return b"".join(b" " + _spelled(p.strip(" ")) + b" " * p.endswith(" ") for p in reversed(chosen))
+    return chosen
 
 
-def _dictionaries(sample: DataFrame, counted: DataFrame, parts: tuple[int, ...]) -> tuple[bytes, bytes] | None:
-    """The dictionaries of ordinary and of toxic text, learned from these parts; None if either class is missing."""
-    fit = sample.filter(F.col("part").isin(*parts))
-    n = {r["toxic"]: r["n"] for r in fit.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
-        return None
+def _toxic_windows(sample: DataFrame, standing: dict[int, list[str]]) -> DataFrame:
+    """(text, part) -> (without, window, n): how often each word that begins with a piece, spelled, stands in toxic documents outside the part ``without``; -1 is none."""
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        starts = {without: tuple(chosen) for without, chosen in standing.items()}
+        for batch in batches:
+            found: Counter = Counter()
+            for text, part in zip(batch["text"], batch["part"], strict=True):
+                for word, n in Counter(cut_words(text)).items():
+                    for without, some in starts.items():
+                        if part != without and f" {word} ".startswith(some):
+                            found[without, word] += n
+            yield pd.DataFrame([(without, b" " + _spelled(word) + b" ", n) for (without, word), n in found.items()], columns=["without", "window", "n"])
+
+    found = sample.filter("toxic = 1").select("text", "part").mapInPandas(choose, "without int, window binary, n long")
+    return found.groupBy("without", "window").agg(F.sum("n").alias("n"))
+
+
+def _plain_windows(sample: DataFrame) -> DataFrame:
+    """(text, part) -> (part, window): windows of ordinary documents, MAX_WINDOWS of them at most."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"window": [w for t in batch["text"] for w in windows(t, 16)]})
+            yield pd.DataFrame([(part, w) for text, part in zip(batch["text"], batch["part"], strict=True) for w in windows(text, TRAINED)], columns=["part", "window"])
 
-    ordinary = fit.filter("toxic = 0").select("text").mapInPandas(cut, "window binary").orderBy(F.xxhash64("window"), "window").limit(MAX_WINDOWS)
-    base = _train_dictionary([bytes(r[0]) for r in ordinary.collect()])
-    extra = _contrast(counted, parts, n)[-DICTIONARY_BYTES:]
-    # zstandard does not find matches in a dictionary's last bytes.
-    return base + bytes(len(extra)) + b" " * 8, base + extra + b" " * 8
+    found = sample.filter("toxic = 0").select("text", "part").mapInPandas(cut, "part int, window binary")
+    return bounded_sample(written(found, "toxicity-windows"), MAX_WINDOWS, "window", "part")
+
+
+def _trained(samples: list[bytes], size: int, **how: object) -> bytes:
+    """A trained dictionary of these windows, in any order, or the windows themselves where they are too few to train on."""
+    samples = sorted(samples)
+    np.random.default_rng(0).shuffle(samples)
+    try:
+        return zstandard.train_dictionary(size, samples, level=3, **how).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def _dictionaries(sample: DataFrame) -> dict[int, tuple[bytes, bytes]]:
+    """By the part that they have not seen, -1 being none: the dictionaries of ordinary and of toxic text, of parts that have both kinds."""
+    counted = written(_counted(sample), "toxicity-pieces")
+    n = {(part, toxic): k for part, toxic, k in sample.groupBy("part", "toxic").agg(F.count("*")).collect()}
+    standing, sizes = {}, {}
+    for without in (-1, *PARTS):
+        parts = tuple(p for p in PARTS if p != without)
+        sizes[without] = {toxic: sum(n.get((p, toxic), 0) for p in parts) for toxic in (0, 1)}
+        if min(sizes[without].values()):
+            standing[without] = _standing_out(counted, parts, sizes[without])
+    plain = [(part, bytes(w)) for part, w in _plain_windows(sample).toLocalIterator()]
+    chosen = written(_toxic_windows(sample, standing), "toxicity-chosen")
+    out = {}
+    for without in standing:
+        own = bounded_sample(chosen.filter(F.col("without") == without), MAX_WINDOWS, "window").select("window", "n").collect()
+        # As often as they stand in the documents, but MAX_WINDOWS in all, besides one of each.
+        rate = min(1.0, MAX_WINDOWS / max(1, sum(k for _, k in own)))
+        toxic = [bytes(w) for w, k in own for _ in range(max(1, round(k * rate)))]
+        out[without] = _trained([w for part, w in plain if part != without], PLAIN_BYTES), _trained(toxic, TOXIC_BYTES, k=SEGMENT, d=RECURRING, f=20, accel=1, split_point=1.0)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
     """(doc_id, text), (doc_id, toxic) -> the model; None if the labels outside the held-out fold lack either class.
 
     It learns from ``max_labelled`` labelled documents at most, those whose ids hash lowest; a document labelled twice
-    counts as toxic if either label says so. The excess of each document that the probabilities are read off is that under
-    dictionaries of the other folds.
+    counts as toxic if either label says so, and of rows that share an id the least text is learned from. The level of each
+    document that the probabilities are read off is that under dictionaries of the other folds, made as the whole ones are.
     """
     asked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
-    chosen = asked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    asked = asked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # The broadcast side has max_labelled rows of two numbers.
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", fold(F.col("doc_id"))), "toxicity-sample")
-    counted = written(_counted(sample), "toxicity-pieces")
-    whole = _dictionaries(sample, counted, PARTS)
-    if whole is None:
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(bounded_sample(asked, max_labelled, "doc_id")), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = written(one.withColumn("part", fold(F.col("doc_id"))), "toxicity-sample")
+    pairs = _dictionaries(sample)
+    if -1 not in pairs:
         return None
-    counts = np.zeros((2, MOST + 1))
-    for part in PARTS:
-        found = _dictionaries(sample, counted, tuple(p for p in PARTS if p != part))
-        if found:
-            excess = _distances(*found)("text").alias("excess")
-            for r in sample.filter(F.col("part") == part).select("toxic", excess).groupBy("excess").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).collect():
-                counts[:, r["excess"]] += r["a"], r["n"]
-    return Model(*whole, rising(*counts))
+    seen = [p for p in PARTS if p in pairs]
+
+    def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = {part: Distance(*pairs[part]) for part in seen}
+        for batch in batches:
+            yield batch[["toxic"]].assign(level=[of[part].level(text) for part, text in zip(batch["part"], batch["text"], strict=True)])
+
+    counts = np.zeros((2, LEVELS))
+    measured = sample.filter(F.col("part").isin(*seen)).select("text", "toxic", "part").mapInPandas(levels, "toxic int, level int")
+    for r in measured.groupBy("level").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).collect():
+        counts[:, r["level"]] += r["a"], r["n"]
+    return Model(*pairs[-1], rising(*counts))
 
 
 def score(model: Model | None, text: Column) -> Column:
-    """The probability that a text is toxic. Null and empty texts have that of an excess of 0; without a model it is 0."""
+    """The probability that a text is toxic. Null and empty texts have that of level 0; without a model it is 0."""
     if model is None:
         return F.lit(0.0)
-    excess = _distances(model.ordinary, model.toxic)(text.cast("string"))
-    return F.element_at(F.array(*[F.lit(float(p)) for p in model.probability]), excess + 1)
+
+    @F.pandas_udf("double")
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = Distance(model.ordinary, model.toxic)
+        for texts in batches:
+            yield pd.Series([model.probability[of.level(t)] for t in texts], dtype="float64")
+
+    return probability(text.cast("string"))
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text), (doc_id, toxic) -> (doc_id, held_out, score, predicted), one row for each document."""
+    """(doc_id, text), (doc_id, toxic) -> (doc_id, held_out, score, predicted), one row for each document.
+
+    Null and empty texts get the score of a text in which nothing is saved; rows without an id or that share one are scored
+    each by its text; without labels of both classes all score 0.
+    """
     model = train(docs, labels)
     scored = docs.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), score(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below the threshold."""
-    model = train(docs, labels)
-    return docs.withColumn("_score", score(model, F.col("text"))).filter(F.col("_score") < threshold).select(*docs.columns)
+    """The documents that score below the threshold, with their own columns whatever these are named."""
+    return docs.filter(score(train(docs, labels), F.col("text")) < threshold)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

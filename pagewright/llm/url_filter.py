@@ -56,19 +56,18 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return found
 
 
-def places(urls: DataFrame, id_column: str) -> DataFrame:
-    """(id, url, ...) -> a row for each character of each URL: gram, the character after the three before it."""
-    padded = urls.withColumn("_padded", F.concat(F.lit(START), F.col("url")))
-    at = F.explode(F.sequence(F.lit(1), F.char_length("url"))).alias("_at")
-    kept = padded.filter(F.char_length("url") > 0).select(id_column, "_padded", *[c for c in ("accepted",) if c in urls.columns], at)
-    return kept.withColumn("gram", F.substr(F.col("_padded"), F.col("_at"), F.lit(ORDER))).drop("_padded", "_at")
+def places(urls: DataFrame) -> DataFrame:
+    """(url, ...) -> the rows repeated for each character of the URL, with gram, the character after the three before it."""
+    some = urls.filter(F.char_length("url") > 0)
+    at = some.select("*", F.explode(F.sequence(F.lit(1), F.char_length("url"))).alias("at"))
+    return at.withColumn("gram", F.substr(F.concat(F.lit(START), F.col("url")), F.col("at"), F.lit(ORDER))).drop("at")
 
 
 def counts(training: DataFrame) -> DataFrame:
-    """(url, accepted) -> (gram, a, r): how often each place occurs in accepted and in rejected URLs."""
-    return places(training, "page_id").groupBy("gram").agg(
-        F.count_if(F.col("accepted")).alias("a"), F.count_if(~F.col("accepted")).alias("r")
-    )
+    """(url, accepted) -> (gram, a, r): how often each place occurs in accepted and in rejected URLs. Equal URLs are cut up once."""
+    once = training.groupBy("url", "accepted").agg(F.count("*").alias("n"))
+    of = {name: F.sum(F.when(kind, F.col("n")).otherwise(0)).alias(name) for name, kind in (("a", F.col("accepted")), ("r", ~F.col("accepted")))}
+    return places(once).groupBy("gram").agg(*of.values())
 
 
 def _levels(seen: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
@@ -99,12 +98,17 @@ def log_ratios(asked: DataFrame, seen: DataFrame) -> DataFrame:
     return wanted.select("gram", (F.log("p_a") - F.log("p_r")).alias("log_ratio"))
 
 
-def scores(urls: DataFrame, seen: DataFrame) -> DataFrame:
-    """(page_id, url) -> (page_id, score): the mean log ratio over a URL's characters; URLs without any are missing."""
-    spots = places(urls, "page_id").withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+def url_scores(urls: DataFrame, seen: DataFrame) -> DataFrame:
+    """(url) -> (url, score), a row for each distinct one: the mean log ratio over its characters; URLs without any are missing."""
+    spots = places(urls.select("url").distinct()).withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
     model = log_ratios(spots.select("gram").distinct(), seen)
-    salted = model.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return spots.join(salted, ["gram", "_salt"]).groupBy("page_id").agg(F.avg("log_ratio").alias("score"))
+    salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spots.join(salted, ["gram", "salt"]).groupBy("url").agg(F.avg("log_ratio").alias("score"))
+
+
+def scores(urls: DataFrame, seen: DataFrame) -> DataFrame:
+    """(url, ...) -> the rows with their URL's score; those whose URL has no characters are missing."""
+    return urls.join(url_scores(urls, seen), "url")
 
 
 def threshold(scored: DataFrame) -> float:
@@ -131,20 +135,21 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """(page_id, url) -> (page_id, host, path, rule, verdict, score), one row for each page.
 
     The rules' verdict where one fits, else allow if the score reaches the threshold. Null URLs and those without ``://``
-    have an empty host and path, fit no rule and are scored as they are; a null or empty one scores 0. Pages that share an id
-    are scored as one. Where the rules accept none or reject none, the models are even and the threshold is 0.
+    have an empty host and path, fit no rule and are scored as they are; a null or empty one scores 0. A page is scored by its
+    URL alone, so that repeated and null ids change nothing. Of rules of the same length that fit, the one that is listed last
+    counts. Where the rules accept none or reject none, the models are even and the threshold is 0.
     """
     read = pages.select("page_id", F.col("url").cast("string").alias("url"))
     ruled = read.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("_found", rule_of(F.col("host"), F.col("path"), rules))
     ruled = written(ruled, "urls")
-    given = ruled.filter("_found is not null and url is not null").select("page_id", "url", (F.col("_found.verdict") == "allow").alias("accepted"))
+    given = ruled.filter("_found is not null and url is not null").select("url", (F.col("_found.verdict") == "allow").alias("accepted"))
     kept = F.pmod(F.xxhash64("url"), F.lit(CALIBRATION)) == 0
     seen = written(counts(given.filter(~kept)), "url-grams")
-    least = threshold(scores(given.filter(kept), seen).join(given.filter(kept).select("page_id", "accepted"), "page_id"))
-    free = scores(ruled.filter("_found is null and url is not null").select("page_id", "url"), seen)
+    least = threshold(scores(given.filter(kept), seen))
+    free = url_scores(ruled.filter("_found is null and url is not null"), seen)
     score = F.coalesce("score", F.lit(0.0))
     verdict = F.coalesce("_found.verdict", F.when(score >= least, "allow").otherwise("block"))
-    out = ruled.join(free, "page_id", "left")
+    out = ruled.join(free, "url", "left")
     return out.select("page_id", "host", "path", F.col("_found.rule").alias("rule"), verdict.alias("verdict"), "score")
 
 

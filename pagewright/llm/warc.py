@@ -59,7 +59,8 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     Columns: record_id, canonical_url, outcome, response_id, response_at, headers. Outcomes: ``resolved``; ``mismatch`` if the
     validators differ; ``unvalidated`` if the two have no validator in common; ``missing`` if there is no earlier full response,
     the URL or time is null. An entity tag decides where both have one, else the time of the last change. Only resolved revisits
-    have a response and headers: those of the response, updated by the permitted ones. Repeated rows are resolved each.
+    have a response and headers: those of the response, updated by the permitted ones; names are compared without case and
+    keep the one they came with. Repeated rows are resolved each.
     """
     known = records.withColumn("canonical_url", canonical(F.col("url")))
     placed = _as_of(known.filter("canonical_url is not null and at is not null"), bucket)
@@ -72,8 +73,10 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
         .when(both_times, F.when(F.col("last_modified") == found["last_modified"], "resolved").otherwise("mismatch"))
         .otherwise("unvalidated")
     )
-    updates = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*PERMITTED))
-    kept = F.map_filter(F.coalesce(found["headers"], F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(updates, k))
+    # Header names have no case.
+    updates = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k).isin(*PERMITTED))
+    updated = F.transform(F.map_keys(updates), F.lower)
+    kept = F.map_filter(F.coalesce(found["headers"], F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(updated, F.lower(k)))
     good = F.col("outcome") == "resolved"
     resolved = placed.withColumn("outcome", outcome).select(
         "record_id",

@@ -96,6 +96,51 @@ def test_toxicity_of_a_small_language(spark, docs_of):
     assert sum(out[i] for i in held if i % 5) <= 0.05 * len(held)
 
 
+def test_levels_of_toxicity():
+    """Against a plain computation of both lengths of every window."""
+    import zstandard
+
+    plain, toxic = (toxicity._spelled(w) * 20 for w in ("ordinary", "dreadful"))
+    of = toxicity.Distance(plain, toxic)
+    for text in (None, "", "a dreadful word and an ordinary one and more", "dreadful " * 50, "x" * 500 + " dreadfuls dreadfulness"):
+        found = (text or "").lower().split()
+        found = [w[i : i + toxicity.RUN] for w in found for i in range(0, len(w), toxicity.RUN)]
+        groups = [b" " + b" ".join(map(toxicity._spelled, found[i : i + toxicity.WINDOW])) + b" " for i in range(0, len(found), toxicity.WINDOW)]
+
+        def length(window, dictionary):
+            how = zstandard.ZstdCompressionParameters(window_log=16, hash_log=16, chain_log=16, search_log=4, min_match=3, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+            data = zstandard.ZstdCompressionDict(plain + dictionary + b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data.precompute_compress(compression_params=how)
+            return len(zstandard.ZstdCompressor(dict_data=data, compression_params=how).compress(window))
+
+        saved = [length(g, bytes(len(toxic))) - length(g, toxic) for g in set(groups)]
+        measure = sum(s for s in saved if s >= toxicity.COUNTS) / math.sqrt(max(1, len(saved)))
+        assert of.level(text) == int(toxicity.STEPS * math.log2(1 + measure))
+    assert of.level("dreadful " * 50) > of.level("ordinary " * 50) == 0
+
+
+def test_pieces_of_words():
+    """Beginnings by brute force over all pairs of words near each other."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        found = ["".join(rng.choice(list("ab"), rng.integers(1, 16))) for _ in range(150)]
+        expected = {f" {w} " for w in found}
+        for i in range(0, len(found), toxicity.NEAR):
+            near = found[i : i + toxicity.NEAR]
+            for k in range(toxicity.STEM[0], toxicity.STEM[1] + 1):
+                expected |= {" " + s for s, n in Counter(w[:k] for w in near if len(w) >= k).items() if n > 1}
+        assert toxicity.pieces(" ".join(found)) == expected
+
+
+def test_clashing_columns_stay(spark, docs_of):
+    """Filters give back the columns that they were given, whatever these are named."""
+    rows = [(i, f"the house and the garden {i}", "en", "s") for i in range(40)] + [(None, None, None, None), (3, "the house", "en", "s")]
+    docs = docs_of(rows).withColumns({name: F.lit(name) for name in ("_p", "_score", "score", "lang_pred", "part", "window")})
+    labels = labelled(spark, [(i, 1, i % 2) for i in range(40)])
+    for kept in (language_id.keep_identified(docs, list("abcdefghijklmnopqrstuvwxyz")), toxicity.keep_ordinary(docs, labels, 2.0)):
+        assert kept.columns == docs.columns and {(r["_p"], r["_score"], r["window"]) for r in kept.collect()} == {("_p", "_score", "window")}
+
+
 def test_rising_never_falls():
     got = toxicity.rising(np.array([1, 0, 5, 2, 0]), np.array([50, 20, 9, 4, 0]))
     assert got == sorted(got) and all(0 <= p <= 1 for p in got)
@@ -152,6 +197,10 @@ def test_rules_of_urls(spark):
         assert (out[i]["host"], out[i]["path"], out[i]["rule"]) == (host, path, rule)
         assert out[i]["verdict"] == verdict or (verdict is None and out[i]["verdict"] in ("allow", "block"))
     assert url_filter.judge(df).count() == len(cases) + 2
+    # A page is judged by its URL alone, whatever its id.
+    b = spark.createDataFrame([(None, "http://b.net/de/", ""), (1, "http://b.net/de/", ""), (1, "ftp://zzz", "")], "page_id long, url string, verdict string")
+    scored = [(r["page_id"], r["host"], r["score"]) for r in url_filter.judge(df.union(b)).collect() if r["host"] in ("b.net", "zzz") and r["rule"] is None]
+    assert len({s for _, h, s in scored if h == "b.net"}) == 1 and len(scored) == 4 and len({s for _, _, s in scored}) == 2
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
@@ -191,6 +240,42 @@ def test_importance(spark, docs_of):
     assert importance.resample(docs_of([]), target).count() == 0
 
 
+def test_importance_by_brute_force(docs_of, spark):
+    """Weights and the kept set recomputed from counts of hashed n-grams in plain Python."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(30)], rng.integers(0, 40))) for _ in range(120)] + [None, ""]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    target = set(range(0, 120, 3))
+    grams = {}
+    for i, t, _, _ in rows:
+        bucket, _owner = importance._buckets(pa.array([t], pa.string()))
+        w = (t or "").split()
+        assert len(bucket) == len(w) + max(0, len(w) - 1)
+        grams[i] = bucket.tolist()
+    raw, good = Counter(b for g in grams.values() for b in g), Counter(b for i in target for b in grams[i])
+    n_raw, n_good = sum(raw.values()) + importance.BUCKETS, sum(good.values()) + importance.BUCKETS
+    weight = {i: sum(math.log((good[b] + 1) / n_good) - math.log((raw[b] + 1) / n_raw) for b in g) for i, g in grams.items()}
+    noise = {r["id"]: r["g"] for r in spark.range(len(rows)).select("id", importance.gumbel(F.col("id")).alias("g")).collect()}
+    out = {r["doc_id"]: r for r in importance.resample(docs_of(rows), spark.createDataFrame([(i,) for i in target], "doc_id long"), keep=0.5).collect()}
+    assert all(math.isclose(out[i]["log_weight"], w, abs_tol=1e-9) for i, w in weight.items())
+    top = sorted(weight, key=lambda i: -(weight[i] + noise[i]))[: math.ceil(len(rows) / 2)]
+    assert {i for i, r in out.items() if r["kept"]} == set(top)
+
+
+def test_learned_rules(spark, docs_of):
+    """Poor documents that shout are learned and found again; the judgement is the rule's, applied by hand."""
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(300):
+        body = " ".join(f"word{n}" for n in rng.integers(0, 4000, 80))
+        rows.append((i, body.upper() if i % 4 == 0 else body, "en", "s"))
+        labels.append((i, int(i % 4 != 0), 0))
+    out = {r["doc_id"]: r for r in quality_rules.judge(docs_of(rows), labelled(spark, labels)).collect()}
+    assert all(out[i]["kept"] == (i % 4 != 0) and (out[i]["rule"] > 0) == (i % 4 == 0) for i in range(300))
+
+
 @pytest.mark.parametrize("few", [1, 10_000])
 def test_kth_largest(spark, monkeypatch, few):
     monkeypatch.setattr(importance, "FEW", few)
