@@ -23,11 +23,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import bounded_sample, fold, table, written
+from pagewright.llm.shingles import shingle_hashes
 
 HELD_OUT, PARTS = 2, (0, 1, 3)
 #: Labelled documents to learn from at most, and windows to train each dictionary on at most.
@@ -44,7 +46,7 @@ SEGMENT, RECURRING = 24, 8
 STEM = (4, 12)
 #: A piece stands out if so many toxic documents have it, they have it so many times as often as ordinary ones, and the
 #: log-likelihood ratio of that is so large. Documents that are counted at a time.
-MIN_SUPPORT, MIN_LIFT, MIN_STRENGTH, SLICE = 5, 6.0, 16.0, 500
+MIN_SUPPORT, MIN_LIFT, MIN_STRENGTH, SLICE = 5, 6.0, 30.0, 500
 #: Bytes that the toxic dictionary must save in a window for it to count.
 COUNTS = 5
 #: Steps of a doubling of the measure, and how many there are; the last is out of reach of any text.
@@ -240,19 +242,36 @@ def _dictionaries(sample: DataFrame) -> dict[int, tuple[bytes, bytes]]:
     return out
 
 
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) -> the same, one document of those with the same least, then with the same greatest hash of a word shingle.
+
+    What a group of near copies repeats would stand out like what many documents say. The least id stays; toxic if any is.
+    """
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [own.view(np.int64) for own in shingle_hashes(pa.array(batch["text"], pa.string()))]
+            yield batch.assign(first=[int(x[0]) if len(x) else 0 for x in found], last=[int(x[-1]) if len(x) else 0 for x in found])
+
+    left = sample.mapInPandas(mark, "doc_id long, text string, toxic int, first long, last long")
+    for key in ("first", "last"):
+        left = left.groupBy(key).agg(F.max("toxic").alias("toxic"), F.min(F.struct("doc_id", "text", *({"first", "last"} - {key}))).alias("one")).select("toxic", key, "one.*")
+    return left.select("doc_id", "text", "toxic")
+
+
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
     """(doc_id, text), (doc_id, toxic) -> the model; None if the labels outside the held-out fold lack either class.
 
     It learns from ``max_labelled`` labelled documents at most, those whose ids hash lowest; a document labelled twice
-    counts as toxic if either label says so, and of rows that share an id the least text is learned from. The level of each
-    document that the probabilities are read off is that under dictionaries of the other folds, made as the whole ones are.
+    counts as toxic if either label says so, of rows that share an id the least text is learned from, and of near copies mostly
+    one. The level of each document that the probabilities are read off is that under dictionaries of the other folds, made as the whole ones are.
     """
     asked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     asked = asked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # The broadcast side has max_labelled rows of two numbers.
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(bounded_sample(asked, max_labelled, "doc_id")), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(bounded_sample(asked, max_labelled, "doc_id")), "doc_id")
     one = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    sample = written(one.withColumn("part", fold(F.col("doc_id"))), "toxicity-sample")
+    sample = written(_without_copies(one).withColumn("part", fold(F.col("doc_id"))), "toxicity-sample")
     pairs = _dictionaries(sample)
     if -1 not in pairs:
         return None

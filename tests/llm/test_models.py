@@ -119,6 +119,29 @@ def test_levels_of_toxicity():
     assert of.level("dreadful " * 50) > of.level("ordinary " * 50) == 0
 
 
+def test_near_copies_do_not_stand_out(spark, docs_of):
+    """Copies of one toxic document, each with a word changed, teach nothing but what other toxic documents say too."""
+    rng = np.random.default_rng(6)
+    common = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    original = [f"rare{i}" for i in range(80)]
+    for i in range(600):
+        body = list(rng.choice(common, 60))
+        toxic = int(i % 5 == 0)
+        if toxic and i % 2:
+            body = list(original)
+            body[int(rng.integers(80))] = "changed"
+        if toxic:
+            body[7] = "dreadfulness"
+        if i % 20 == 1:
+            body[11:14] = original[30:33]
+        rows.append((i, " ".join(body), "en", "s"))
+        labels.append((i, 1, toxic))
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.assess(docs_of(rows), labelled(spark, labels)).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(out[i] == (i % 5 == 0) for i in held)
+
+
 def test_pieces_of_words():
     """Beginnings by brute force over all pairs of words near each other."""
     rng = np.random.default_rng(3)
