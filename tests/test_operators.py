@@ -1,6 +1,8 @@
 import io
+import itertools
 import zipfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pagewright.operators import align, assemble, outline, sanitize, state
@@ -52,6 +54,28 @@ def test_differences():
     assert kinds("", "") == [] and kinds("", "x") == ["extra"]
 
 
+def test_pairs_in_order_by_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        similar = rng.random(rng.integers(0, 6, 2)) < 0.4
+        found = align.in_order(similar)
+        assert all(similar[p] for p in found) and all(a < c and b < d for (a, b), (c, d) in itertools.pairwise(found))
+        cells = [tuple(map(int, x)) for x in np.argwhere(similar)]
+        best = {}
+        for i, j in sorted(cells, reverse=True):
+            best[i, j] = 1 + max((n for (a, b), n in best.items() if a > i and b > j), default=0)
+        assert len(found) == max(best.values(), default=0)
+
+
+def test_page_diff(spark):
+    rows = [("d", 1, 0, "inter-", 0.0, 0.0, 50.0, 10.0), ("d", 1, 1, "national", 0.0, 20.0, 80.0, 30.0), ("d", 1, 2, "law", 90.0, 20.0, 99.0, 30.0), ("d", 2, 0, "alone", 0.0, 0.0, 9.0, 9.0)]
+    words = spark.createDataFrame(rows, "doc_id string, page_index int, pos int, text string, x0 double, y0 double, x1 double, y1 double")
+    typed = spark.createDataFrame([("d", 1, ["international", "laws", "here"]), ("d", 3, ["new"])], "doc_id string, page_index int, typed array<string>")
+    found = align.page_diff(words, typed)
+    assert sorted((r["page_index"], r["kind"], r["text"], len(r["boxes"] or [])) for r in found.collect()) == [(1, "changed", "law", 1), (1, "extra", "here", 0), (2, "missing", "alone", 1), (3, "extra", "new", 0)]
+    assert {r["page_index"]: tuple(r)[2:] for r in align.diff_counts(found).collect()} == {1: (0, 1, 1), 2: (1, 0, 0), 3: (0, 1, 0)}
+
+
 def test_scan_tokens(spark):
     rows = [("d", 1, 0, "inter-", 0.0, 0.0, 50.0, 10.0), ("d", 1, 1, "national", 0.0, 20.0, 80.0, 30.0), ("d", 1, 2, "a-", 90.0, 20.0, 95.0, 30.0), ("d", 1, 3, "b", 96.0, 20.0, 99.0, 30.0)]
     found = align.scan_tokens(spark.createDataFrame(rows, "doc_id string, page_index int, pos int, text string, x0 double, y0 double, x1 double, y1 double"))
@@ -122,7 +146,13 @@ def test_project_round_trip(spark):
 
 def test_line_words_cover_their_lines(spark, data):
     found = line_words(spark, data).groupBy("doc_id", "page_index", "line").agg(F.max("x1").alias("x1"), F.min("x0").alias("x0")).collect()
-    assert all(abs(r["x0"]) < 1e-6 and r["x1"] <= 1000.0001 for r in found)
+    # The last word's box ends by one space beyond the line.
+    assert all(abs(r["x0"]) < 1e-6 and r["x1"] > 1000 for r in found)
+
+
+def test_line_words_share_the_line(spark):
+    lines = spark.createDataFrame([("d", 1, 0, " ab  c ", 100.0, 0.0, 200.0, 10.0), ("d", 1, 1, " ", 0.0, 0.0, 9.0, 9.0)], "doc_id string, page_index int, line int, text string, x0 double, y0 double, x1 double, y1 double")
+    assert [(r["word"], r["x0"], r["x1"]) for r in align.line_words(lines).orderBy("word_no").collect()] == [("ab", 100.0, 175.0), ("c", 175.0, 225.0)]
 
 
 def test_decide():
