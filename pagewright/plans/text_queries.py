@@ -77,7 +77,7 @@ def refusal_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dot_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.left("text", F.lit(30)), F.lit(" . . . . . . "), F.col("doc_id"), F.lit("....3"))
+    line = F.concat("text", F.lit(" . . . . . . "), F.col("doc_id"), F.lit("....3"))
     return table(spark, sf_dir, "documents").select("doc_id", text.without_leaders(line).alias("line"))
 
 
@@ -147,7 +147,7 @@ QUERIES = {
     ),
     "dot_leaders": (
         dot_leaders,
-        r"SELECT doc_id, regexp_replace(left(text, 30) || ' . . . . . . ' || CAST(doc_id AS VARCHAR) || '....3', '(?:\s*[.․‥…]){5,}\s*', ' ', 'g') AS line FROM documents",
+        r"SELECT doc_id, regexp_replace(text || ' . . . . . . ' || CAST(doc_id AS VARCHAR) || '....3', '(?:\s*[.․‥…]){5,}\s*', ' ', 'g') AS line FROM documents",
     ),
     "vocabulary": (
         vocabulary,
