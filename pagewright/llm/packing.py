@@ -27,8 +27,8 @@ GROUP = 4096
 #: Underfull sequences are packed anew as long as a round has filled those of one piece in so many.
 WORTH = 8
 TOKENIZER = "word_bpe_49k.json"
-#: Words, and parts of words, that a task remembers with their ids, and the longest that it remembers.
-REMEMBERED, LONG_WORD = 150_000, 64
+#: Words that a task, and parts of words that a worker remembers with their ids, and the longest that they remember.
+REMEMBERED, PARTS, LONG_WORD = 400_000, 150_000, 64
 #: str.split() without an argument would also split at characters that the tokenizer keeps.
 _SPACES = "\t\n\r\x0b\x0c"
 
@@ -36,13 +36,13 @@ _SPACES = "\t\n\r\x0b\x0c"
 class Ids(dict):
     """A dictionary that asks ``find`` for what it lacks, and forgets all when it is full."""
 
-    def __init__(self, find: Callable[[str], bytes]):
-        self.find = find
+    def __init__(self, find: Callable[[str], bytes], most: int):
+        self.find, self.most = find, most
 
     def __missing__(self, text: str) -> bytes:
         found = self.find(text)
         if len(text) <= LONG_WORD:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[text] = found
         return found
@@ -64,14 +64,24 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(description)
         parsed = json.loads(description)
         # Texts that hold one of these are split at it before anything else.
-        self.added = [t["content"] for t in parsed.get("added_tokens") or []]
+        added = parsed.get("added_tokens") or []
+        self.added, self.added_lower = ([t["content"] for t in added if t["normalized"] == n] for n in (False, True))
         pre = parsed["pre_tokenizer"]
         steps = pre["pretokenizers"] if pre and pre["type"] == "Sequence" else []
         self.parts = None
         if [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and not steps[1]["use_regex"]:
             self.parts = regex.compile(steps[0]["pattern"]["Regex"]).findall
             self.bytes = _byte_characters()
-        self.part_ids, self.word_ids = Ids(self._of_part), Ids(self._of_word)
+        self.part_ids, self.word_ids = Ids(self._of_part, PARTS), Ids(self._of_word, REMEMBERED)
+
+    @classmethod
+    def of_worker(cls, description: str) -> WordIds:
+        """The one of this process, which outlives a task; the words of the last task are forgotten."""
+        held = cls.__dict__.get("_held")
+        if held is None or held[0] != description:
+            cls._held = held = (description, cls(description))
+        held[1].word_ids.clear()
+        return held[1]
 
     def _of_part(self, part: str) -> bytes:
         mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes)
@@ -84,8 +94,7 @@ class WordIds:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: str) -> bytes:
-        lower = text.lower()
-        if any(t in text or t in lower for t in self.added):
+        if any(t in text for t in self.added) or (self.added_lower and any(t in text.lower() for t in self.added_lower)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         for space in _SPACES:
             text = text.replace(space, " ")
@@ -113,8 +122,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Da
     description = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Of this task alone: what it remembers goes with it, for a worker lives on.
-        ids = WordIds(description.value)
+        ids = WordIds.of_worker(description.value)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = defaultdict(list)
@@ -125,6 +133,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Da
                     for name, value in zip(NAMES, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, PIECES)
+        ids.word_ids.clear()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
