@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -28,7 +29,7 @@ GROUP = 4096
 WORTH = 8
 TOKENIZER = "word_bpe_49k.json"
 #: Words that a task, and parts of words that a worker remembers with their ids, and the longest that they remember.
-REMEMBERED, PARTS, LONG_WORD = 400_000, 150_000, 64
+REMEMBERED, PARTS, LONG_WORD = 400_000, 300_000, 64
 #: str.split() without an argument would also split at characters that the tokenizer keeps.
 _SPACES = "\t\n\r\x0b\x0c"
 
@@ -72,6 +73,10 @@ class WordIds:
         if [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and not steps[1]["use_regex"]:
             self.parts = regex.compile(steps[0]["pattern"]["Regex"]).findall
             self.bytes = _byte_characters()
+        # Whether the rule takes letters, of which no shorter part is made, as one.
+        self.letters = self.parts is not None and self.parts("Straßeté") == ["Straßeté"]
+        self.tokenize = self.tokenizer.model.tokenize
+        self.packed = [struct.pack("<I", i) for i in range(1 + max(self.tokenizer.get_vocab().values()))]
         self.part_ids, self.word_ids = Ids(self._of_part, PARTS), Ids(self._of_word, REMEMBERED)
 
     @classmethod
@@ -85,12 +90,13 @@ class WordIds:
 
     def _of_part(self, part: str) -> bytes:
         mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes)
-        ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.packed[t.id] for t in self.tokenize(mapped)])
 
     def _of_word(self, word: str) -> bytes:
         if self.parts and _SIMPLE(word):
-            return b"".join(map(self.part_ids.__getitem__, self.parts(word.lower())))
+            lower = word.lower()
+            # Letters alone are one part.
+            return self.part_ids[lower] if self.letters and lower.isalpha() else b"".join(map(self.part_ids.__getitem__, self.parts(lower)))
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: str) -> bytes:
@@ -102,7 +108,7 @@ class WordIds:
 
 
 #: Visible ASCII, and Latin letters that lower case takes one for one.
-_SIMPLE = regex.compile("[!-~¡-¬®-į]+").fullmatch
+_SIMPLE = re.compile("[!-~¡-¬®-į]+").fullmatch
 
 
 def _byte_characters() -> dict[int, str]:
