@@ -136,3 +136,54 @@ def text_of(tokens_: Column) -> Column:
     """The text between the tags in one line; script and style hold none, and pieces are a space apart."""
     shown = F.filter(tokens_, lambda t: (t["kind"] == "text") & ~F.arrays_overlap(t["path"], F.array(F.lit("script"), F.lit("style"))))
     return F.trim(F.regexp_replace(F.array_join(F.transform(shown, lambda t: t["text"]), " "), r"\s+", " "))
+
+
+#: What checks ask of an element: the start of its text and whether that is blank, the images and header cells in it, and the
+#: start of its first header cell without a scope. Only READ elements have a text.
+ELEMENTS = T.ArrayType(
+    T.StructType(
+        [T.StructField("tag", _S), T.StructField("attrs", T.MapType(_S, _S)), T.StructField("text", _S), T.StructField("blank", _B), T.StructField("images", T.IntegerType()), T.StructField("headers", T.IntegerType()), T.StructField("unscoped", _S)]
+    )
+)
+READ = frozenset("h1 h2 h3 h4 h5 h6 a table th title".split())
+#: Characters of an element's and of a header cell's text that are told.
+TOLD, TOLD_HEADER = 60, 40
+
+
+def read_elements(html: str | None) -> list[dict]:
+    """The elements of markup in the order of their start tags."""
+    found: list[dict] = []
+    stack: list[tuple[dict, list[str]]] = []
+    for token in read_tokens(html):
+        kind, tag = token["kind"], token["tag"]
+        if kind == "text":
+            for element, pieces in stack:
+                if element["tag"] in READ:
+                    pieces.append(token["text"])
+        elif kind == "end":
+            element, pieces = stack.pop()
+            text = "".join(pieces)
+            element["text"], element["blank"] = text[:TOLD], not text.strip()
+            if tag == "th" and not element["attrs"].get("scope"):
+                for outer, _ in stack:
+                    if outer["unscoped"] is None:
+                        outer["unscoped"] = text[:TOLD_HEADER]
+        else:
+            element = {"tag": tag, "attrs": token["attrs"], "text": "", "blank": True, "images": 0, "headers": 0, "unscoped": None}
+            for outer, _ in stack:
+                outer["images"] += tag == "img"
+                outer["headers"] += tag == "th"
+            found.append(element)
+            if kind == "start":
+                stack.append((element, []))
+    return found
+
+
+@F.pandas_udf(ELEMENTS)
+def _elements(html: pd.Series) -> pd.Series:
+    return html.map(read_elements)
+
+
+def elements(html: Column) -> Column:
+    """The elements of markup; null has none."""
+    return _elements(F.coalesce(html, F.lit("")))

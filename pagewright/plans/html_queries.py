@@ -23,6 +23,10 @@ def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_checks.issues(_pages(spark, sf_dir)).groupBy("severity", "code").agg(F.count("*").alias("n"))
 
 
+def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_checks.findings(_pages(spark, sf_dir))
+
+
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_checks.headings(_pages(spark, sf_dir))
 
@@ -115,6 +119,7 @@ QUERIES = {
         SELECT severity, code, count(*) AS n FROM f GROUP BY severity, code""",
     ),
     "page_issues": (page_issues, _FINDINGS),
+    "page_findings": (page_findings, None),
     "headings": (headings, _HEADINGS),
     "heading_skips": (
         heading_skips,

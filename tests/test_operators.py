@@ -5,7 +5,7 @@ import zipfile
 import numpy as np
 from pyspark.sql import functions as F
 
-from pagewright.operators import align, assemble, outline, sanitize, state
+from pagewright.operators import align, assemble, html_checks, outline, sanitize, state
 from pagewright.plans.page_queries import line_words
 from pagewright.sources import files
 from pagewright.streaming import edits
@@ -157,3 +157,34 @@ def test_line_words_share_the_line(spark):
 
 def test_decide():
     assert edits.decide([0, 0, None, 2, 3], 0) == ([(1, "accepted"), (1, "conflict"), (2, "accepted"), (3, "accepted"), (4, "accepted")], 4)
+
+
+FINDINGS = [
+    (None, [("error", "lang", ""), ("error", "title", ""), ("warning", "h1-count", ""), ("warning", "no-pagebreaks", "")]),
+    (
+        """<html lang='en'><head><title>T</title></head><body><h1>A</h1><h3>Deep <b>x</b></h3><h2> <br></h2><h2></h2><img alt=''><img alt=" " src=a.png><img src='data:xx' id=q>
+        <table><tr><td><table><tr><th>in<th scope=col>c</table></td></tr></table><table><tr><td>plain</td></tr></table><a href=#q></a><a href='#no'>n</a><a href="/x"><img alt="y"></a>
+        <p id=q style="c">p</p><p style=d id='one'></p><div role=doc-pagebreak></div></body></html>""",
+        [
+            ("warning", "heading-skip", "Deep x"), ("error", "empty-heading", ""), ("error", "empty-heading", ""), ("info", "img-alt-empty", ""), ("info", "img-alt-empty", "a.png"), ("error", "img-alt", "embedded image (q)"),
+            ("info", "th-scope", "in"), ("info", "th-scope", "in"), ("warning", "table-th", "plain"), ("error", "link-text", "#q"), ("warning", "broken-fragment", ""), ("error", "dup-id", ""), ("info", "inline-style", ""), ("info", "presentational", ""),
+        ],
+    ),
+]
+
+
+def test_findings_at_each_element(spark):
+    df = spark.createDataFrame([(i, html) for i, (html, _) in enumerate(FINDINGS)], "page_id int, html string")
+    found = html_checks.findings(df).collect()
+    for i, (_, expected) in enumerate(FINDINGS):
+        assert sorted((r["severity"], r["code"], r["location"]) for r in found if r["page_id"] == i) == sorted(expected)
+    assert {r["message"] for r in found if r["code"] == "dup-id"} == {"id used 2 times: q"}
+    assert html_checks.findings(df.limit(0)).count() == 0
+
+
+def test_findings_agree_with_the_checks_of_pages(spark, data):
+    """On the test pages, which a regular expression can read."""
+    pages_ = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "html")
+    ours = html_checks.findings(pages_).select("page_id", "severity", "code").filter("code not in ('th-scope', 'link-text', 'presentational')").distinct()
+    theirs = html_checks.issues(pages_).filter("code not like 'presentational%'").distinct()
+    assert ours.exceptAll(theirs).count() == theirs.exceptAll(ours).count() == 0
