@@ -160,16 +160,17 @@ def fold_key(word: str) -> str:
 def knit(tail: Column, lead: Column, vocabulary: Column) -> Column:
     """How a word broken at a page's end goes on: the tail as it stands before the lead, null if the two are separate words.
 
-    A soft hyphen always goes. A hyphen stays before a capital or a digit, after a stem that is a compound already, and where
-    the document spells the compound with it and never without; else it goes.
+    A soft hyphen always goes. A hyphen stays before a capital or a digit, and, unless the document spells the word without
+    it, after a stem that is a compound already and where the document spells the compound with it; else it goes.
     """
     stem = F.regexp_extract(tail, r"(?s)^(.*)[-‐­]$", 1)
     mark = F.right(tail, F.lit(1))
     before, after = F.lower(F.regexp_extract(stem, r"([\p{L}\p{N}‐-]+)$", 1)), F.lower(F.regexp_extract(lead, r"^([\p{L}\p{N}]+)", 1))
-    spelled = F.array_contains(vocabulary, F.concat(before, F.lit("-"), after)) & ~F.array_contains(vocabulary, F.concat(before, after))
+    joined = F.array_contains(vocabulary, F.concat(before, after))
+    kept = ~joined & (F.contains(before, F.lit("-")) | F.array_contains(vocabulary, F.concat(before, F.lit("-"), after)))
     return (
         F.when(~mark.isin("-", "‐", "­") | (after == ""), F.lit(None).cast("string"))
         .when(mark == "­", stem)
-        .when(~F.rlike(lead, F.lit(r"^\p{Ll}")) | F.contains(before, F.lit("-")) | F.coalesce(spelled, F.lit(False)), tail)
+        .when(~F.rlike(lead, F.lit(r"^\p{Ll}")) | F.coalesce(kept, F.lit(False)), tail)
         .otherwise(stem)
     )

@@ -36,11 +36,12 @@ def embed(documents: DataFrame, figures: DataFrame) -> DataFrame:
 
 
 def contents(headings: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """(doc_id, ord, new_level, text, id) -> (doc_id, toc): nested lists of the headings, as deep as asked for.
+    """(doc_id, ord, new_level, text, id or href) -> (doc_id, toc): nested lists of the headings, as deep as asked for.
 
     The levels have no skips, so that each entry opens one list at most and closes as many as it goes up.
     """
-    listed = headings.filter(F.col("new_level") <= deepest).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "new_level", "text", "id"))).alias("_h"))
+    place = F.col("href") if "href" in headings.columns else F.concat(F.lit("#"), "id")
+    listed = headings.filter(F.col("new_level") <= deepest).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "new_level", "text", place.alias("href")))).alias("_h"))
 
     def add(done: Column, h: Column) -> Column:
         up = F.greatest(done["level"] - h["new_level"], F.lit(0))
@@ -48,7 +49,7 @@ def contents(headings: DataFrame, deepest: int = DEEPEST) -> DataFrame:
             F.when(h["new_level"] > done["level"], "<ol>")
             .otherwise(F.concat(F.lit("</li>"), F.repeat(F.lit("</ol></li>"), up)))
         )
-        entry = F.concat(F.lit('<li><a href="#'), h["id"], F.lit('">'), escaped(h["text"]), F.lit("</a>"))
+        entry = F.concat(F.lit('<li><a href="'), escaped(h["href"]), F.lit('">'), escaped(h["text"]), F.lit("</a>"))
         return F.struct(F.concat(done["html"], step, entry).alias("html"), h["new_level"].alias("level"))
 
     start = F.struct(F.lit("").alias("html"), F.lit(0).alias("level"))

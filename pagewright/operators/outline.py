@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pagewright.functions.names import free_name
 from pagewright.functions.text import slug
 
 #: A word of a document's vocabulary: compounds are one.
@@ -16,19 +19,18 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(WORD), 0))).alias("word")).distinct()
 
 
-def first_free(names: Column, suffix: Column) -> Column:
-    """Names made unique in order: one that is taken gets the suffix, again and again, until it is free.
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _free_names(names: pd.Series, suffix: pd.Series) -> pd.Series:
+    def all_free(own: list[str], behind: str) -> list[str]:
+        taken: dict[str, str] = {}
+        return [free_name(n, behind, taken) for n in own]
 
-    A fold over the names so far; a count per name would be wrong, since a name with a suffix may itself be taken.
-    """
+    return pd.Series([all_free(own, behind) for own, behind in zip(names, suffix, strict=True)])
 
-    def add(taken: Column, name: Column) -> Column:
-        # The longest run of suffixes behind this name among the taken ones that starts with none.
-        runs = F.transform(F.sequence(F.lit(0), F.size(taken)), lambda k: F.concat(name, F.repeat(suffix, k)))
-        free = F.filter(runs, lambda candidate: ~F.array_contains(taken, candidate))
-        return F.concat(taken, F.array(free[0]))
 
-    return F.aggregate(names, F.array().cast("array<string>"), add)
+def first_free(names: Column, suffix: Column) -> Column:
+    """Names made unique in order: one that is taken gets the suffix, again and again, until it is free."""
+    return _free_names(names, suffix)
 
 
 def page_ids(pages: DataFrame) -> DataFrame:

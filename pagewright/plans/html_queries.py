@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import markup, text
-from pagewright.operators import assemble, html_checks, outline, sanitize
-from pagewright.sources.adapters import pages, table
+from pagewright.operators import assemble, figures, html_checks, outline, sanitize
+from pagewright.sources.adapters import PAGES_SQL, pages, table
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,12 +91,64 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.assemble(pages(spark, sf_dir)).select("doc_id", "html", "n_pages", "n_merged")
 
 
+def _marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw web pages as the pages of documents, twenty each, in the vocabulary; a page may end in the middle of a paragraph."""
+    web = table(spark, sf_dir, "pages").select(
+        F.floor(F.col("page_id") / 20).cast("string").alias("doc_id"), (F.col("page_id") % 20 + 1).cast("int").alias("page_index"), F.lit(None).cast("string").alias("label"), "html",
+        (F.col("page_id") % 3 == 0).alias("starts_mid_paragraph"), (F.col("page_id") % 3 == 2).alias("ends_mid_paragraph"), F.lit(False).alias("skip"),
+    )
+    return sanitize.sanitize(web)
+
+
+def finished_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a finished document must have: one heading of level 1, no skips, no id twice, a mark for each page."""
+    html = F.col("html")
+    levels = F.transform(F.regexp_extract_all(html, F.lit(r"<h([1-6])\b"), 1), lambda x: x.cast("int"))
+    ids = F.regexp_extract_all(html, F.lit(r'<[a-z][^>]*?\sid="([^"]*)"'), 1)
+    skips = F.size(F.filter(F.transform(levels, lambda x, i: x > F.get(levels, i - 1) + 1), lambda x: x))
+    return assemble.assemble(_marked_up(spark, sf_dir)).select(
+        "doc_id", "n_pages", F.size(F.filter(levels, lambda x: x == 1)).alias("tops"), skips.alias("skips"), (F.size(ids) - F.size(F.array_distinct(ids))).alias("repeated_ids"),
+        F.regexp_count(html, F.lit('role="doc-pagebreak"')).alias("marks"),
+    )
+
+
 def epub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The names and sizes of the files in each document's book."""
     whole = assemble.assemble(pages(spark, sf_dir))
     return assemble.book_files(whole).select("doc_id", "name", F.length("content").alias("n_chars"))
 
 
+def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page under a heading of its own, with links to the page two ahead and to itself."""
+    p = pages(spark, sf_dir)
+    here = F.concat(F.lit('<h2 id="s-'), "page_index", F.lit('">'), "page_index", F.lit('</h2><p><a href="#s-'), F.col("page_index") + 2, F.lit('">on</a> <a href="#s-'), "page_index", F.lit('">here</a></p>'))
+    return p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", here.alias("html")))).alias("_p")).select("doc_id", F.array_join(F.transform("_p", lambda x: x["html"]), "").alias("html"))
+
+
+def cross_chapter_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of documents whose pages are chapters: those to another chapter name its file, those within one stay."""
+    cut = assemble.relinked(assemble.chapters(_chained(spark, sf_dir)))
+    return cut.select("doc_id", F.substring_index("file", "/", -1).alias("own"), F.explode(F.regexp_extract_all("body", F.lit('href="([^"]*)"'), 1)).alias("href"))
+
+
+def _pictured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages with two images in their markup, and the figures of every other page, the first of which has a box."""
+    p = pages(spark, sf_dir)
+    html = F.concat(F.lit('<p>'), F.regexp_replace("draft_text", "[&<>]", ""), F.lit('<img src="fig:a" alt=""><img alt="own" src="b"></p>'))
+    known = p.filter("page_index % 2 = 0").select("doc_id", "page_index", F.explode(F.array(F.lit("fig:a"), F.lit("b"))).alias("id"), F.left(F.regexp_replace("draft_text", "[&<>\"]", ""), F.lit(20)).alias("alt"))
+    return p.withColumn("html", html), known.withColumn("bbox", F.when(F.col("id") == "fig:a", F.array(*[F.lit(float(x)) for x in (1, 2, 30, 40)])))
+
+
+def figure_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images in pages' markup, looked up among the figures."""
+    return figures.lookup(*_pictured(spark, sf_dir)).select("doc_id", "page_index", "fig_id", "shown_as", "file", "alt")
+
+
+def figure_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' markup with the images shown or described."""
+    return figures.resolve(*_pictured(spark, sf_dir)).select("doc_id", "page_index", "html")
+
+
 _BARE = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"
 _HEADINGS = rf"""SELECT page_id, CAST(nth - 1 AS INT) AS nth, CAST(regexp_extract(h, '(?is)<h([1-6])', 1) AS INT) AS level,
   trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(h, '(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>', 1), '(?i)<br\s*/?>', ' ', 'g'), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text
@@ -157,5 +209,29 @@ QUERIES = {
         SELECT doc_id, ord, tag, CAST(1 + sum(CASE WHEN tag IN ('h1', 'h2') AND ord > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS INT) AS chapter FROM b""",
     ),
     "assemble": (assembled, None),
+    "finished_document": (
+        finished_document,
+        """SELECT CAST(page_id // 20 AS VARCHAR) AS doc_id, count(*) AS n_pages, CAST(1 AS INT) AS tops, CAST(0 AS INT) AS skips, CAST(0 AS INT) AS repeated_ids, CAST(count(*) AS INT) AS marks
+        FROM pages GROUP BY page_id // 20""",
+    ),
     "epub_files": (epub_files, None),
+    "cross_chapter_links": (
+        cross_chapter_links,
+        f"""WITH p AS ({PAGES_SQL}), c AS (SELECT doc_id, page_index, 'ch' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS VARCHAR), 3, '0') || '.xhtml' AS own FROM p)
+        SELECT c.doc_id, c.own, coalesce(d.own, '') || '#s-' || CAST(c.page_index + 2 AS VARCHAR) AS href FROM c LEFT JOIN c d ON d.doc_id = c.doc_id AND d.page_index = c.page_index + 2
+        UNION ALL SELECT doc_id, own, '#s-' || CAST(page_index AS VARCHAR) FROM c""",
+    ),
+    "figure_lookup": (
+        figure_lookup,
+        f"""WITH p AS ({PAGES_SQL}) SELECT doc_id, page_index, fig_id, CASE WHEN fig_id = 'a' AND page_index % 2 = 0 THEN 'figure' ELSE 'description' END AS shown_as,
+        CASE WHEN fig_id = 'a' AND page_index % 2 = 0 THEN 'p' || lpad(CAST(page_index AS VARCHAR), 3, '0') || '-a.png' END AS file,
+        CASE WHEN fig_id = 'b' THEN 'own' WHEN page_index % 2 = 0 THEN left(regexp_replace(draft_text, '[&<>"]', '', 'g'), 20) ELSE '' END AS alt FROM p, (VALUES ('a'), ('b')) f(fig_id)""",
+    ),
+    "figure_markup": (
+        figure_markup,
+        f"""WITH p AS ({PAGES_SQL}), t AS (SELECT doc_id, page_index, regexp_replace(draft_text, '[&<>]', '', 'g') AS body, left(regexp_replace(draft_text, '[&<>"]', '', 'g'), 20) AS alt,
+        '<p class="figure-description"><strong>Image: </strong>' AS said FROM p)
+        SELECT doc_id, page_index, '<p>' || body || CASE WHEN page_index % 2 = 0 THEN '<img src="figures/p' || lpad(CAST(page_index AS VARCHAR), 3, '0') || '-a.png" alt="' || alt || '">' ELSE said || '(no description)</p>' END
+        || said || 'own</p></p>' AS html FROM t""",
+    ),
 }

@@ -195,23 +195,6 @@ def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "page_index", "line", "word_no", "word", F.round("x0", 6).alias("x0"), F.round("x1", 6).alias("x1"))
 
 
-def figure_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of pages joined with the pages' figures; those without a record become a description."""
-    p = pages(spark, sf_dir)
-    images = p.select("doc_id", "page_index", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("fig_id"))
-    figures = p.filter(F.col("page_index") % 2 == 0).select("doc_id", "page_index", F.lit("a").alias("fig_id"), F.left("draft_text", F.lit(20)).alias("alt"))
-    found = images.join(figures, ["doc_id", "page_index", "fig_id"], "left")
-    return found.select("doc_id", "page_index", "fig_id", F.when(F.col("alt").isNotNull(), "figure").otherwise("description").alias("shown_as"), F.coalesce("alt", F.lit("(no description)")).alias("alt"))
-
-
-def cross_chapter_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links to ids in other chapters get the chapter's file: each page is a chapter that links to the one two ahead."""
-    p = pages(spark, sf_dir)
-    ids = p.select("doc_id", F.concat(F.lit("h-"), "page_index").alias("id"), F.format_string("ch%03d.xhtml", "page_index").alias("file"))
-    links = p.select("doc_id", F.format_string("ch%03d.xhtml", "page_index").alias("own"), F.concat(F.lit("h-"), F.col("page_index") + 2).alias("id"))
-    return links.join(ids, ["doc_id", "id"]).filter("file <> own").select("doc_id", "own", F.concat("file", F.lit("#"), "id").alias("href"))
-
-
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events a window of six hours and kind: review throughput in event time."""
     e = table(spark, sf_dir, "events")
@@ -348,16 +331,6 @@ QUERIES = {
           CAST(sum(length(word) + 1) OVER (PARTITION BY doc_id, page_index, line) - 1 AS DOUBLE) AS total FROM w)
         SELECT doc_id, page_index, line, word_no, word, round((upto - length(word) - 1) * (1000.0::DOUBLE / total), 6) AS x0, round(upto * (1000.0::DOUBLE / total), 6) AS x1 FROM s""",
     ),
-    "figure_lookup": (
-        figure_lookup,
-        f"""{_WITH} SELECT doc_id, page_index, fig_id, CASE WHEN fig_id = 'a' AND page_index % 2 = 0 THEN 'figure' ELSE 'description' END AS shown_as,
-        CASE WHEN fig_id = 'a' AND page_index % 2 = 0 THEN left(draft_text, 20) ELSE '(no description)' END AS alt FROM pages_, (VALUES ('a'), ('b')) f(fig_id)""",
-    ),
-    "cross_chapter_links": (
-        cross_chapter_links,
-        f"""{_WITH} SELECT p.doc_id, 'ch' || lpad(CAST(p.page_index AS VARCHAR), 3, '0') || '.xhtml' AS own,
-        'ch' || lpad(CAST(q.page_index AS VARCHAR), 3, '0') || '.xhtml#h-' || CAST(q.page_index AS VARCHAR) AS href FROM pages_ p JOIN pages_ q ON p.doc_id = q.doc_id AND q.page_index = p.page_index + 2""",
-    ),
     "throughput": (
         throughput,
         "SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",

@@ -9,52 +9,55 @@ from pagewright.functions import geometry, text
 from pagewright.operators import outline
 from pagewright.sources.adapters import pages, table
 
-TITLES = (
-    "Annual report", "Microsoft Word - draft.doc", "scan 12", "Untitled", "chapter_one", "a_b c", "report.PDF", "3f2504e0-4f89-11d3", "deadbeefdeadbeef", "", "  History of Tea ",
-    "Document 7", "PowerPoint - slides", "Page of fame", "0123456789abcdef0", "none",
-)
-AUTHORS = ("A. Writer", "admin", "svc_scan", "Service-1", "Windows User", "Unknown", "owner of it", "", " scanner ")
-LANGUAGES = ("en", "en-GB", "e", "engl", "zh-Hant-TW", "de_AT", "fr-", "pt-BR1234567", "pt-BR12345678", "")
-URLS = ("https://h/api/chat/completions", "https://h/v1/completions/", "https://h/v1/", " https://h ", "https://h//", "https://h/chat/completions/completions")
-ROTATIONS = ("0", "45", "135", "-90", "450", "90.4", "x", "-45", "1e3", "")
-KNITS = (
-    ("trans-", "port", "a"), ("co-", "worker", "co-worker"), ("co-", "worker", "co-worker,coworker"), ("two-by-", "four", "a"), ("Franco-", "German", "a"), ("1990-", "1995", "a"),
-    ("hard­", "ened", "a"), ("plain", "word", "a"), ("trans-", "!", "a"), ("über-", "all", "über-all"),
-)
-
-
-def _literals(spark: SparkSession, values: tuple, name: str = "value") -> DataFrame:
-    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"id int, {name} string")
-
-
-def _values(values: tuple) -> str:
-    quoted = ", ".join("({}, '{}')".format(i, v.replace("'", "''")) for i, v in enumerate(values))
-    return f"(VALUES {quoted}) v(id, value)"
 
 
 def title_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, TITLES).select("id", text.usable_title(F.col("value")).alias("title"))
+    """Titles of web pages, some as programs write them."""
+    title, i = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1), F.col("page_id") % 8
+    stored = (
+        F.when(i == 0, F.concat(F.lit("Microsoft Word - "), title)).when(i == 1, F.concat(title, F.lit(".DOCX"))).when(i == 2, F.replace(title, F.lit(" "), F.lit("_"))).when(i == 3, F.sha2(title.cast("binary"), 256))
+        .when(i == 4, F.concat(F.lit("scanned document "), "page_id")).when(i == 5, F.concat(F.lit("  "), title, F.lit(" "))).otherwise(title)
+    )
+    return table(spark, sf_dir, "pages").select("page_id", text.usable_title(stored).alias("title"))
 
 
 def author_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, AUTHORS).select("id", text.usable_author(F.col("value")).alias("author"))
+    """The documents' sources as authors, some as accounts."""
+    source, i = F.col("source"), F.col("doc_id") % 5
+    stored = F.when(i == 0, F.concat(F.lit("svc_"), source)).when(i == 1, F.lit("Windows User")).when(i == 2, F.concat(F.lit("owner of "), source)).otherwise(source)
+    return table(spark, sf_dir, "documents").select("doc_id", text.usable_author(stored).alias("author"))
 
 
 def language_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, LANGUAGES).select("id", text.is_language(F.col("value")).alias("ok"))
+    """The documents' languages, some with regions that tags may or may not have."""
+    lang, i = F.col("lang"), F.col("doc_id") % 5
+    tag = F.when(i == 0, F.concat(lang, F.lit("-"), F.upper(lang))).when(i == 1, F.concat(lang, F.lit("_"), F.upper(lang))).when(i == 2, F.concat(lang, F.lit("-"), F.repeat(lang, F.lit(5)))).when(i == 3, F.repeat(lang, F.lit(2))).otherwise(lang)
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_language(tag).alias("ok"))
 
 
 def api_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, URLS).select("id", text.api_root(F.col("value")).alias("root"))
+    """The web pages' addresses as those of endpoints, some with the endpoint's path."""
+    i = F.col("page_id") % 4
+    given = F.concat(F.lit(" "), "url", F.when(i == 0, "/chat/completions").when(i == 1, "/completions//").when(i == 2, "//").otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", text.api_root(given).alias("root"))
 
 
 def rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, ROTATIONS).select("id", geometry.rotation(F.col("value")).alias("degrees"))
+    """Values of events as turns: some are no numbers."""
+    given = F.when(F.col("event_id") % 7 == 0, F.col("event_type")).otherwise(((F.col("event_id") % 1441 - 720) / 2).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", geometry.rotation(given).alias("degrees"))
 
 
 def knit_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = spark.createDataFrame([(i, *k) for i, k in enumerate(KNITS)], "id int, tail string, lead string, known string")
-    return cases.select("id", text.knit(F.col("tail"), F.col("lead"), F.split("known", ",")).alias("knit"))
+    """Adjoining words of documents as if a page ended between them, the first with a hyphen; the word after them decides what is known."""
+    ws = F.col("_ws")
+    words = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0).alias("_ws"))
+    pairs = words.select("doc_id", F.explode(F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.struct(i.alias("nth"), w.alias("w"), F.get(ws, i + 1).alias("lead")))).alias("_p")).select("doc_id", "_p.*")
+    mark = F.when(F.col("nth") % 11 == 0, F.lit("\u00ad")).when(F.col("nth") % 11 == 1, F.lit("")).when(F.col("nth") % 2 == 0, F.lit("-")).otherwise(F.lit("‐"))
+    tail = F.when(F.col("nth") % 5 == 0, F.concat("w", F.lit("-x"), mark)).otherwise(F.concat("w", mark))
+    lower = lambda c: F.lower(F.col(c))
+    known = F.when(F.col("nth") % 3 == 0, F.array(F.concat(lower("w"), F.lit("-"), lower("lead")))).when(F.col("nth") % 3 == 1, F.array(F.concat(lower("w"), F.lit("-"), lower("lead")), F.concat(lower("w"), lower("lead")))).otherwise(F.array(F.concat(lower("w"), F.lit("-x"), lower("lead"))))
+    return pairs.select("doc_id", "nth", text.knit(tail, F.col("lead"), known).alias("knit"))
 
 
 def bbox_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,22 +115,41 @@ _TITLE = r"(SELECT page_id, url, regexp_extract(html, '(?is)<title>(.*?)</title>
 QUERIES = {
     "title_usable": (
         title_usable,
-        rf"""SELECT id, CASE WHEN regexp_matches(t, '(?i)^(microsoft\s+)?(word|excel|powerpoint|publisher|office)\s+-\s+') OR regexp_matches(t, '(?i)\.(docx?|rtf|odt|wpd|pptx?|xlsx?|pdf|txt|html?|tiff?|jpe?g|png|indd|qxd|e?ps)$')
-        OR regexp_matches(t, '(?i)[0-9a-f]{{8}}-[0-9a-f]{{4}}-|[0-9a-f]{{16}}') OR regexp_matches(t, '(?i)^(untitled|no title|title|none|unknown|(scanned |microsoft word )?(document|scan|image|page|presentation)) ?[0-9]*$')
-        OR (contains(t, '_') AND NOT contains(t, ' ')) THEN '' ELSE t END AS title FROM (SELECT id, trim(value) AS t FROM {_values(TITLES)})""",
+        r"""SELECT page_id, CASE WHEN regexp_matches(t, '(?i)^(microsoft\s+)?(word|excel|powerpoint|publisher|office)\s+-\s+') OR regexp_matches(t, '(?i)\.(docx?|rtf|odt|wpd|pptx?|xlsx?|pdf|txt|html?|tiff?|jpe?g|png|indd|qxd|e?ps)$')
+        OR regexp_matches(t, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-|[0-9a-f]{16}') OR regexp_matches(t, '(?i)^(untitled|no title|title|none|unknown|(scanned |microsoft word )?(document|scan|image|page|presentation)) ?[0-9]*$')
+        OR (contains(t, '_') AND NOT contains(t, ' ')) THEN '' ELSE t END AS title FROM (SELECT page_id, trim(CASE page_id % 8 WHEN 0 THEN 'Microsoft Word - ' || title WHEN 1 THEN title || '.DOCX'
+          WHEN 2 THEN replace(title, ' ', '_') WHEN 3 THEN sha256(title) WHEN 4 THEN 'scanned document ' || CAST(page_id AS VARCHAR) WHEN 5 THEN '  ' || title || ' ' ELSE title END) AS t
+          FROM (SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM pages))""",
     ),
     "author_usable": (
         author_usable,
-        f"""SELECT id, CASE WHEN regexp_matches(trim(value), '(?i)^(svc|service)[-_.]|^(administrator|admin|user|owner|default|unknown|none|author|scanner|windows user|microsoft office user|registered user)$')
-        THEN '' ELSE trim(value) END AS author FROM {_values(AUTHORS)}""",
+        """SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)^(svc|service)[-_.]|^(administrator|admin|user|owner|default|unknown|none|author|scanner|windows user|microsoft office user|registered user)$')
+        THEN '' ELSE t END AS author FROM (SELECT doc_id, trim(coalesce(CASE doc_id % 5 WHEN 0 THEN 'svc_' || source WHEN 1 THEN 'Windows User' WHEN 2 THEN 'owner of ' || source ELSE source END, '')) AS t FROM documents)""",
+    ),
+    "language_ok": (
+        language_ok,
+        """SELECT doc_id, coalesce(regexp_matches(CASE doc_id % 5 WHEN 0 THEN lang || '-' || upper(lang) WHEN 1 THEN lang || '_' || upper(lang) WHEN 2 THEN lang || '-' || repeat(lang, 5)
+        WHEN 3 THEN repeat(lang, 2) ELSE lang END, '^[A-Za-z]{2,3}(-[A-Za-z0-9]{1,8})*$'), false) AS ok FROM documents""",
+    ),
+    "api_root": (
+        api_root,
+        """SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(' ' || url || CASE page_id % 4 WHEN 0 THEN '/chat/completions' WHEN 1 THEN '/completions//' WHEN 2 THEN '//' ELSE '' END),
+        '/+$', ''), '(/chat)?/completions$', ''), '/+$', '') AS root FROM pages""",
     ),
-    "language_ok": (language_ok, f"SELECT id, regexp_matches(value, '^[A-Za-z]{{2,3}}(-[A-Za-z0-9]{{1,8}})*$') AS ok FROM {_values(LANGUAGES)}"),
-    "api_root": (api_root, f"SELECT id, regexp_replace(regexp_replace(regexp_replace(trim(value), '/+$', ''), '(/chat)?/completions$', ''), '/+$', '') AS root FROM {_values(URLS)}"),
     "rotation": (
         rotation,
-        f"""SELECT id, CAST(coalesce(((CAST(q AS INT) % 4) + 4) % 4 * 90, 0) AS INT) AS degrees FROM (SELECT id, round_even(try_cast(value AS DOUBLE) / 90, 0) AS q FROM {_values(ROTATIONS)})""",
+        """SELECT event_id, CAST(coalesce(((CAST(q AS INT) % 4) + 4) % 4 * 90, 0) AS INT) AS degrees FROM (SELECT event_id, round_even(CASE WHEN event_id % 7 <> 0 THEN (event_id % 1441 - 720) / 2.0::DOUBLE END / 90, 0) AS q FROM events)""",
+    ),
+    "knit_word": (
+        knit_word,
+        r"""WITH a AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents), p AS (SELECT doc_id, CAST(n - 1 AS INT) AS nth, ws[n] AS w, ws[n + 1] AS lead FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS n FROM a)),
+        t AS (SELECT *, CASE WHEN nth % 11 = 0 THEN chr(173) WHEN nth % 11 = 1 THEN '' WHEN nth % 2 = 0 THEN '-' ELSE '‐' END AS m, CASE WHEN nth % 5 = 0 THEN w || '-x' ELSE w END AS s FROM p),
+        k AS (SELECT *, regexp_extract(s || m, '(?s)^(.*)[-‐' || chr(173) || ']$', 1) AS stem, right(s || m, 1) AS mark, lower(regexp_extract(lead, '^([\p{L}\p{N}]+)', 1)) AS after, CASE nth % 3 WHEN 0 THEN [lower(w) || '-' || lower(lead)]
+          WHEN 1 THEN [lower(w) || '-' || lower(lead), lower(w) || lower(lead)] ELSE [lower(w) || '-x' || lower(lead)] END AS known FROM t),
+        b AS (SELECT *, lower(regexp_extract(stem, '([\p{L}\p{N}‐-]+)$', 1)) AS before FROM k)
+        SELECT doc_id, nth, CASE WHEN mark NOT IN ('-', '‐', chr(173)) OR after = '' THEN NULL WHEN mark = chr(173) THEN stem
+          WHEN NOT regexp_matches(lead, '^\p{Ll}') OR (NOT list_contains(known, before || after) AND (contains(before, '-') OR list_contains(known, before || '-' || after))) THEN s || m ELSE stem END AS knit FROM b""",
     ),
-    "knit_word": (knit_word, None),
     "bbox_crop": (
         bbox_crop,
         """WITH b AS (SELECT doc_id, CAST(doc_id % 900 AS DOUBLE) AS x0, CAST(doc_id % 700 AS DOUBLE) AS y0, CAST(doc_id % 900 + doc_id % 37 AS DOUBLE) AS x1, CAST(doc_id % 700 + doc_id % 251 AS DOUBLE) AS y1 FROM documents),

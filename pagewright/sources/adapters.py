@@ -15,7 +15,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn, spot = F.col("turn"), F.col("conv_id") + F.col("turn")
     text = F.col("text")
     status = F.element_at(F.array(*[F.lit(s) for s in ("done", "pending", "needs_review", "done", "error")]), (spot % 5 + 1).cast("int"))
-    html = F.when(spot % 7 == 0, "").when(spot % 3 == 0, "<p>to be read again</p>").otherwise(F.concat(F.lit("<p>"), text, F.lit("</p>")))
+    html = F.when(spot % 7 == 0, "").otherwise(F.concat(F.lit("<p>"), text, F.lit("</p>")))
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("doc_id"),
         (turn + 1).cast("int").alias("page_index"),
@@ -36,7 +36,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGES_SQL = """
   SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn + 1 AS INT) AS page_index,
     CASE WHEN (conv_id + turn) % 4 <> 0 THEN CAST(turn % 3 + 1 AS VARCHAR) END AS label,
-    CASE WHEN (conv_id + turn) % 7 = 0 THEN '' WHEN (conv_id + turn) % 3 = 0 THEN '<p>to be read again</p>' ELSE '<p>' || text || '</p>' END AS html,
+    CASE WHEN (conv_id + turn) % 7 = 0 THEN '' ELSE '<p>' || text || '</p>' END AS html,
     (conv_id + turn) % 2 = 0 AS starts_mid_paragraph, (conv_id + turn) % 2 = 1 AS ends_mid_paragraph, (conv_id + turn) % 11 = 0 AS skip,
     ['done', 'pending', 'needs_review', 'done', 'error'][CAST((conv_id + turn) % 5 + 1 AS INT)] AS status,
     CASE WHEN (conv_id + turn) % 6 = 0 THEN 'check this page' ELSE '' END AS notes, text AS draft_text,

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry, markup, model_json, text
-from pagewright.plans.text_queries import KNITS
 from pagewright.sources import files
 
 
@@ -14,8 +13,37 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first()["x"]
 
 
+TITLES = (
+    "Annual report", "Microsoft Word - draft.doc", "scan 12", "Untitled", "chapter_one", "a_b c", "report.PDF", "3f2504e0-4f89-11d3", "deadbeefdeadbeef", "", "  History of Tea ",
+    "Document 7", "PowerPoint - slides", "Page of fame", "0123456789abcdef0", "none",
+)
+AUTHORS = ("A. Writer", "admin", "svc_scan", "Service-1", "Windows User", "Unknown", "owner of it", "", " scanner ")
+LANGUAGES = ("en", "en-GB", "e", "engl", "zh-Hant-TW", "de_AT", "fr-", "pt-BR1234567", "pt-BR12345678", "")
+URLS = ("https://h/api/chat/completions", "https://h/v1/completions/", "https://h/v1/", " https://h ", "https://h//", "https://h/chat/completions/completions")
+ROTATIONS = ("0", "45", "135", "-90", "450", "90.4", "x", "-45", "1e3", "")
+KNITS = (
+    ("trans-", "port", "a"), ("co-", "worker", "co-worker"), ("co-", "worker", "co-worker,coworker"), ("two-by-", "four", "a"), ("Franco-", "German", "a"), ("1990-", "1995", "a"),
+    ("hard­", "ened", "a"), ("plain", "word", "a"), ("trans-", "!", "a"), ("über-", "all", "über-all"), ("two-by-", "four", "two-byfour"),
+)
+
+
+@pytest.mark.parametrize(
+    "rule,given,expected",
+    [
+        (text.usable_title, TITLES, ["Annual report", "", "", "", "", "a_b c", "", "", "", "", "History of Tea", "", "", "Page of fame", "", ""]),
+        (text.usable_author, AUTHORS, ["A. Writer", "", "", "", "", "", "owner of it", "", ""]),
+        (text.is_language, LANGUAGES, [True, True, False, False, True, False, False, False, False, False]),
+        (text.api_root, URLS, ["https://h/api", "https://h/v1", "https://h/v1", "https://h", "https://h", "https://h/chat/completions"]),
+        (geometry.rotation, ROTATIONS, [0, 0, 180, 270, 90, 90, 0, 0, 270, 0]),
+    ],
+)
+def test_rules(spark, rule, given, expected):
+    rows = spark.createDataFrame(list(enumerate(given)), "id int, value string").select("id", rule(F.col("value")).alias("x")).orderBy("id").collect()
+    assert [r["x"] for r in rows] == expected
+
+
 def test_knit(spark):
-    expected = ["trans", "co-", "co", "two-by-", "Franco-", "1990-", "hard", None, None, "über-"]
+    expected = ["trans", "co-", "co", "two-by-", "Franco-", "1990-", "hard", None, None, "über-", "two-by"]
     cases = spark.createDataFrame([(i, *k) for i, k in enumerate(KNITS)], "id int, tail string, lead string, known string")
     rows = cases.select("id", text.knit(F.col("tail"), F.col("lead"), F.split("known", ",")).alias("x")).orderBy("id").collect()
     assert [r["x"] for r in rows] == expected

@@ -99,10 +99,12 @@ def test_assemble(spark):
     found = assemble.assemble(pages(spark, rows)).collect()
     assert [r["doc_id"] for r in found] == ["d"]
     html = found[0]["html"]
-    assert 'one inter<span id="pg-3b" role="doc-pagebreak" aria-label="3"></span>national law</p>' in html
-    assert '<li>b</li><li><span id="pg-4" role="doc-pagebreak" aria-label="4"></span></li><li>c</li></ol>' in html
-    assert 'to be <span id="pg-x" role="doc-pagebreak" aria-label="x"></span>Continued</p>' in html
-    assert '</p><div id="pg-y" role="doc-pagebreak" aria-label="y"></div><h2>New</h2>' in html
+    # A mark has its label as text and is told as "Page ..."; that of a list that goes on stands at the head of its first item.
+    mark = '<{0} role="doc-pagebreak" id="{1}" aria-label="Page {2}" title="Page {2}">{2}</{0}>'.format
+    assert f'one inter{mark("span", "pg-3b", "3")}national law</p>' in html
+    assert f'<li>b</li><li>{mark("span", "pg-4", "4")}c</li></ol>' in html
+    assert f'to be {mark("span", "pg-x", "x")}Continued</p>' in html
+    assert f'</p>{mark("div", "pg-y", "y")}<h2 id="h-2">New</h2>' in html
     assert [p["id"] for p in found[0]["page_ids"]] == ["pg-3", "pg-3b", "pg-4", "pg-x", "pg-y"]
 
 
