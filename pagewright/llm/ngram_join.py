@@ -344,9 +344,9 @@ def _shared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose id is that of their component, and those without an id."""
-    others = join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """The documents whose id is that of their component, and those without an id; all columns as they were, whatever their names."""
+    others = join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
+    return docs.join(others, docs["doc_id"] == others["_other"], "left_anti")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

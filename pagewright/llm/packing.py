@@ -299,7 +299,8 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, group:
     Full pieces are sequences of their own. The others are dealt evenly, by a hash, to groups of about ``group`` pieces;
     each is packed by one task. The pieces of sequences that are still underfull are dealt anew, to ever fewer groups,
     until one group holds them all or a round has filled the sequences of fewer than one piece in WORTH. Repeated rows, ids
-    included, are packed as documents of their own. A text of any length is one document. Reruns agree.
+    included, are packed as documents of their own. A text of any length is one document. Reruns pack
+    alike; the ids of sequences are any numbers.
     """
     cut = written(pieces(docs, tokenizer_path, sequence), "pack-pieces")
     whole = cut.filter(F.col("length") == sequence).select(

@@ -62,7 +62,8 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     have a response and headers: those of the response, updated by the permitted ones; names are compared without case and
     keep the one they came with. Repeated rows are resolved each.
     """
-    known = records.withColumn("canonical_url", canonical(F.col("url")))
+    # Other columns go first, so that none of them clashes with what is added.
+    known = records.select("record_id", "at", "kind", "status", "etag", "last_modified", "headers", canonical(F.col("url")).alias("canonical_url"))
     placed = _as_of(known.filter("canonical_url is not null and at is not null"), bucket)
     found = F.col("_found")
     both_tags = F.col("etag").isNotNull() & found["etag"].isNotNull()

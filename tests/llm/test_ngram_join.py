@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.llm import components, ngram_join, shingles
 
@@ -130,6 +131,8 @@ def test_edges(docs_of):
     out = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs_of(rows)).collect())
     assert [(a, b) for a, b, _ in out] == [(-1, 3), (3, 3), (5, 3), (5, 3), (8, 0), (9, 0)]
     assert {c for i, _, c in out if i in (3, 5)} == {3} and {(i, c) for i, _, c in out if i in (8, 9)} == {(8, 8), (9, 9)}
+    odd = docs_of(rows).withColumns({c: F.lit(c) for c in ("a.b", "_other", "component_id", "`x`")})
+    assert ngram_join.keep_one(odd).columns == odd.columns and ngram_join.keep_one(odd).count() == ngram_join.keep_one(docs_of(rows)).count()
     kept = ngram_join.keep_one(docs_of(rows))
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 8, 9] and kept.columns == docs_of(rows).columns
     assert ngram_join.join(docs_of([])).count() == 0

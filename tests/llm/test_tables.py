@@ -237,6 +237,9 @@ def test_revisits(spark):
     assert out[10] == [("resolved", 1, h)] * 2
     assert out[11] == [("resolved", 1, {"content-type": "text/html", "Date": "2", "ETag": "new"})]
     assert warc.resolve(spark.createDataFrame([], RECORDS)).count() == 0
+    own = ["_carried", "_near", "_found", "_bucket", "_full", "_end", "canonical_url", "outcome", "a.b"]
+    clash = spark.createDataFrame(rows, RECORDS).withColumns({c: F.lit("clash") for c in own})
+    assert sorted(map(str, warc.resolve(clash).collect())) == sorted(map(str, warc.resolve(spark.createDataFrame(rows, RECORDS)).collect()))
 
 
 @pytest.mark.parametrize("bucket", [1, 7, 4096])
@@ -279,7 +282,18 @@ def test_edge_rows_go_through(spark, docs_of, tmp_path):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{folder}/labels.parquet")
     rows = [(1, "the house and the garden", "en", "a"), (1, "the house and the garden", "en", "a"), (2, None, None, None), (3, "", "en", None), (None, "words here", "en", "b"), (4, "a " * 4000, "en", "a")]
-    for docs in (docs_of(rows), docs_of([])):
-        for _, stage in corpus_pipeline.STAGES:
+    clash = {"a.b": F.lit(1), "n_links": F.lit("n"), "component_id": F.lit(7), "_other": F.lit(0), "size": F.lit("s")}
+    for docs in (docs_of(rows).withColumns(clash), docs_of([]).withColumns(clash)):
+        columns, empty = docs.columns, docs.isEmpty()
+        for name, stage in corpus_pipeline.STAGES:
+            before = {(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()}
             docs = written(stage(spark, docs, folder), "edge")
-        docs.collect()
+            if name != "packing":
+                kept = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+                assert docs.columns == columns and set(kept) <= before
+                # No text, no language; of equal documents with an id one stays; the mix repeats whole rows.
+                assert all(t for _, t in kept)
+                if name == "ngram_join":
+                    assert len({i for i, _ in kept if i is not None}) == len({(i, t) for i, t in kept if i is not None})
+        assert docs.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        assert not empty or docs.isEmpty()
