@@ -13,9 +13,14 @@ from pagewright.streaming import edits
 
 
 def _folder(spark: SparkSession) -> str:
-    """A place for a stream's checkpoint, in the shared folder where one is set."""
+    """A place for a stream's checkpoint and rows in the shared folder; a machine's own is taken only where there is one machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="pagewright-stream-")
+    if shared:
+        return f"{shared}/stream-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="pagewright-stream-")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
