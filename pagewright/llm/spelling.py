@@ -31,6 +31,8 @@ TIMES = 2
 SLIP = 97
 #: Bytes of text that are split at a time, distinct words that a task counts before it gives them out, and rows of the index taken at a time.
 CHUNK, COUNTED, ROWS = 1 << 22, 1 << 18, 1 << 15
+#: Pairs that are compared at a time.
+PAIRS = 1 << 16
 #: Rows of one part of the index; a larger one is dealt into several, each of which meets all words that ask.
 PART = 1 << 13
 
@@ -236,22 +238,28 @@ def _meet(rows: pa.RecordBatch) -> Iterator[tuple[int, int]]:
         nth = np.arange(len(own)) - np.searchsorted(own, own)
         # A row of the index is in its lists itself: who else is there stands behind it.
         short = order[(nth <= Q) & (sizes[order] > (0 if longer else 1))]
+        pairs: list[tuple[int, int]] = []
         for asker, group in groupby(short.tolist(), key=lambda k: int(row[at[k]])):
             merged = heapq.merge(*[posted[lo[k] : hi[k]].tolist() for k in group for lo, hi in spans if hi[k] > lo[k]])
-            for other, _ in groupby(merged):
-                if (longer or other > asker) and _shared(data, starts, letters, asker, other) >= letters[other] - 1 and near(words[asker], words[other]):
-                    yield asker, other
-
-
-def _shared(data: np.ndarray, starts: np.ndarray, letters: np.ndarray, a: int, b: int) -> int:
-    """The grams that two words share in places that one edit allows: the same, or one on where b is a letter longer. A gram counts once."""
-    one, two = data[starts[a] : starts[a] + letters[a] + 4], data[starts[b] : starts[b] + letters[b] + 4]
-    same = one == two[: len(one)]
-    grams = same[:-2] & same[1:-1] & same[2:]
-    if len(two) > len(one):
-        moved = one == two[1:]
-        grams = grams | (moved[:-2] & moved[1:-1] & moved[2:])
-    return int(grams.sum())
+            pairs += [(asker, other) for other, _ in groupby(merged) if longer or other > asker]
+        for lo in range(0, len(pairs), PAIRS):
+            some = np.array(pairs[lo : lo + PAIRS])
+            enough = _shared(data, starts, letters, some[:, 0], some[:, 1]) >= letters[some[:, 1]] - 1
+            yield from ((a, b) for a, b in some[enough].tolist() if near(words[a], words[b]))
+
+
+def _shared(data: np.ndarray, starts: np.ndarray, letters: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The grams that the words of pairs share in places that one edit allows: the same, or one on where b is a letter longer. A gram of a counts once."""
+    size = letters[a] + 4
+    ends = np.cumsum(size)
+    pair = np.repeat(np.arange(len(a)), size)
+    nth = np.arange(ends[-1]) - (ends - size)[pair]
+    own, other = data[starts[a][pair] + nth], starts[b][pair] + nth
+    same = own == data[other]
+    moved = (own == data[np.minimum(other + 1, len(data) - 1)]) & (letters[b] > letters[a])[pair]
+    begins = nth[:-2] < (size - 2)[pair[:-2]]
+    grams = begins & (same[:-2] & same[1:-1] & same[2:] | moved[:-2] & moved[1:-1] & moved[2:])
+    return np.bincount(pair[:-2][grams], minlength=len(a))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
