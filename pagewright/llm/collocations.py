@@ -1,12 +1,12 @@
 """Phrases whose words stand together more often than chance has it, counted by Suffix-sigma.
 
-Every word begins a suffix of its piece, cut after ``longest`` words. The suffixes are dealt by language and first word and
-sorted in reverse order, so that all occurrences of a phrase, which are the suffixes that begin with it, stand in one run.
-One pass with a stack of open prefixes, one for each length, counts all phrases at once: a row closes the prefixes that it
+Every word begins a suffix of its piece, cut after ``longest`` words. The suffixes are dealt by first word and language and
+sorted in reverse order, so that all occurrences of a phrase, which are the suffixes that begin with it, stand
+in one run of its language. One pass with a stack of open prefixes, one for each length, counts all phrases at once: a row closes the prefixes that it
 does not share with the row before. What the empty prefix counts are the words of the language.
 
-Dealing is by ranges of that order, equal suffixes of a task being one row with its count. The suffixes of a frequent first
-word thereby spread over as many tasks as they need, and only the prefixes that are open at either end of a task are known
+Dealing is by ranges of that order, which a bounded sample cuts to about equal sizes, equal suffixes of a block of text being
+one row with its count. The suffixes of a frequent first word thereby spread over as many tasks as they need, and only the prefixes that are open at either end of a task are known
 in part; those are always given out, and parts are added up after. All other phrases below the least count end in their task.
 """
 
@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +27,8 @@ LONGEST, LEAST, TOLD = 5, 100, 2000
 WITHIN = 100
 #: Bytes of text that are split at a time, and words whose suffixes are written out at a time.
 CHUNK, BLOCK = 1 << 21, 1 << 18
+#: Documents, and as many of their suffixes at most, that tell where the ranges are cut; and the first bytes of a suffix, which decide on its range.
+SAMPLED, LEADS, LEADING = 2000, 1 << 15, 24
 #: A frequent part of phrases is joined in so many places, the size of a language in so many.
 SALTS, LANGUAGE_SALTS = 16, 256
 
@@ -94,8 +95,18 @@ def _chunks(texts: list[bytes]) -> Iterator[np.ndarray]:
         yield np.frombuffer(b"".join(gathered), np.uint8)
 
 
-def suffix_counts(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(lang, text) -> (lang, suffix, n): the suffixes of the words, those of a block that are equal counted."""
+def _leading(suffix: pa.BinaryArray) -> np.ndarray:
+    """The first bytes of suffixes, as numpy compares them: a shorter one is filled up with the byte that sorts first."""
+    offsets = np.frombuffer(suffix.buffers()[1], np.int32)[suffix.offset : suffix.offset + len(suffix) + 1].astype(np.int64)
+    data = np.frombuffer(suffix.buffers()[2], np.uint8)
+    at = offsets[:-1, None] + np.arange(LEADING)
+    found = np.where(at < offsets[1:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
+    return found.view(f"S{LEADING}").ravel()
+
+
+def suffix_counts(docs: DataFrame, longest: int = LONGEST, cuts: list[bytes] | None = None) -> DataFrame:
+    """(lang, text) -> (part, lang, suffix, n): the suffixes of the words, those of a block that are equal counted, and the range between cuts that each is in."""
+    bounds = np.array(cuts or [], f"S{LEADING}")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,12 +117,21 @@ def suffix_counts(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
                 for data in _chunks(texts.filter(pa.array(codes == code)).to_pylist()):
                     for block in suffixes(data, longest):
                         counted = pa.table({"suffix": block}).group_by("suffix", use_threads=False).aggregate([([], "count_all")])
-                        for part in counted.to_batches():
-                            at = {name: part.column(part.schema.get_field_index(name)) for name in ("suffix", "count_all")}
-                            yield pa.RecordBatch.from_arrays([pa.array([lang] * part.num_rows, pa.string()), at["suffix"], at["count_all"]], ["lang", "suffix", "n"])
+                        for rows in counted.to_batches():
+                            part = np.searchsorted(bounds, _leading(rows["suffix"]), "right").astype(np.int32)
+                            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([lang] * rows.num_rows, pa.string()), rows["suffix"], rows["count_all"]], ["part", "lang", "suffix", "n"])
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    return docs.select(lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(emit, "lang string, suffix binary, n long")
+    return docs.select(lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(emit, "part int, lang string, suffix binary, n long")
+
+
+def _cuts(docs: DataFrame, longest: int, parts: int) -> list[bytes]:
+    """Where the order of suffixes is cut into ranges of about equal size, by a sample. Cuts decide on no result, only on which task counts what."""
+    n = docs.count()
+    sample = docs.sample(min(1.0, SAMPLED / n), 1) if n else docs
+    thin = suffix_counts(sample, longest).orderBy(F.xxhash64("suffix", "lang")).limit(LEADS)
+    found = sorted(thin.select(F.substring("suffix", 1, LEADING).alias("lead")).toArrow().column("lead").to_pylist())
+    return sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
 
 
 class _Stack:
@@ -119,16 +139,15 @@ class _Stack:
 
     def __init__(self, longest: int, least: int) -> None:
         self.depths, self.least = longest + 1, least
-        self.row, self.lang = None, None
+        self.row = None
         self.open = np.zeros(self.depths, np.int64)
         # Whether the open prefix may go on in the task before: nothing of its length has been closed yet.
         self.first = np.ones(self.depths, bool)
 
-    def push(self, langs: pa.Array, rows: pa.Array, n: np.ndarray) -> Iterator[tuple[str, bytes, int]]:
-        """Takes rows in their order and gives the prefixes that they close: (lang, words, count)."""
+    def push(self, rows: pa.Array, n: np.ndarray) -> Iterator[tuple[bytes, int]]:
+        """Takes rows of a language in their order and gives the prefixes that they close: (words, count)."""
         held = self.row is not None
         if held:
-            langs = pa.concat_arrays([pa.array([self.lang], pa.string()), langs])
             rows = pa.concat_arrays([pa.array([self.row], pa.binary()), rows])
             n = np.append(0, n)
         offsets = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
@@ -147,29 +166,26 @@ class _Stack:
         words = np.searchsorted(marks, offsets[1:]) - first_mark
         shared = np.full(len(rows), -1)
         shared[1:] = np.searchsorted(marks, offsets[1:-1] + like) - first_mark[1:]
-        other = pc.not_equal(langs[1:], langs[:-1]).to_numpy(zero_copy_only=False)
-        shared[1:][other] = -1
         for depth in range(self.depths):
-            starts = np.flatnonzero(shared < depth) if depth else np.flatnonzero(shared < 0)
+            starts = np.flatnonzero(shared < depth) if depth else np.zeros(1, np.int64)
             counts = np.add.reduceat(n, starts)
             counts[0] += self.open[depth] if held else 0
-            told = (words[starts] >= depth) & ((counts >= self.least) | (depth == 0))
+            told = (words[starts] >= depth) & (counts >= self.least)
             if self.first[depth] and len(starts) > 1:
                 told[0] = words[starts[0]] >= depth
                 self.first[depth] = False
             self.open[depth] = counts[-1]
             for k in np.flatnonzero(told[:-1]).tolist():
                 row = int(starts[k])
-                end = int(marks[first_mark[row] + depth - 1]) + 1 if depth else int(offsets[row])
-                yield langs[row].as_py(), data[offsets[row] : end].tobytes(), int(counts[k])
-        self.row, self.lang = rows[-1].as_py(), langs[-1].as_py()
+                yield data[offsets[row] : marks[first_mark[row] + depth - 1] + 1].tobytes(), int(counts[k])
+        self.row = rows[-1].as_py()
 
-    def close(self) -> Iterator[tuple[str, bytes, int]]:
+    def close(self) -> Iterator[tuple[bytes, int]]:
         """What is open after the last row, which may go on in the next task."""
         if self.row is not None:
             ends = [0, *[i + 1 for i, b in enumerate(self.row) if b == 0]]
             for depth, end in enumerate(ends):
-                yield self.lang, self.row[:end], int(self.open[depth])
+                yield self.row[:end], int(self.open[depth])
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -179,11 +195,14 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     A null language is 'und', a null text is empty, rows that repeat count each; a language without a word has no row. Other
     columns are not looked at. A text is cut between pieces to go through memory, so that one piece at a time must fit.
     """
-    order = [F.desc("lang"), F.desc("suffix")]
-    dealt = suffix_counts(docs, longest).repartitionByRange(*order).sortWithinPartitions(*order)
+    # The words come first in the order, since a sort is fast on its first bytes: the languages of a task have a stack each.
+    order = [F.desc("suffix"), F.desc("lang")]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = suffix_counts(docs, longest, _cuts(docs, longest, parts))
+    dealt = found.repartitionById(parts, F.col("part")).select("lang", "suffix", "n").sortWithinPartitions(*order)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack = _Stack(longest, least)
+        stacks: dict[str, _Stack] = {}
 
         def told(found: list[tuple[str, bytes, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -191,12 +210,17 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
             )
 
         for batch in batches:
-            if batch.num_rows:
-                yield told(list(stack.push(batch.column(0), batch.column(1), batch.column(2).to_numpy())))
-        yield told(list(stack.close()))
-
-    parts = dealt.mapInArrow(count, "lang string, phrase string, f long")
-    return parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == ""))
+            of = batch.column(0).dictionary_encode()
+            codes = of.indices.to_numpy(zero_copy_only=False)
+            for code, lang in enumerate(of.dictionary.to_pylist()):
+                own = batch.filter(pa.array(codes == code)) if len(of.dictionary) > 1 else batch
+                stack = stacks.setdefault(lang, _Stack(longest, least))
+                yield told([(lang, *found) for found in stack.push(own.column(1), own.column(2).to_numpy())])
+        for lang, stack in stacks.items():
+            yield told([(lang, *found) for found in stack.close()])
+
+    counted = dealt.mapInArrow(count, "lang string, phrase string, f long")
+    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == ""))
 
 
 def _joined(rows: DataFrame, sizes: DataFrame, phrase: str, name: str, salts: int) -> DataFrame:
