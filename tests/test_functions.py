@@ -1,4 +1,5 @@
 import hashlib
+import time
 import unicodedata
 
 import pytest
@@ -78,7 +79,8 @@ def test_tokens_balance(spark):
     open_ = []
     for t in markup.read_tokens(html):
         if t["kind"] == "start":
-            assert t["path"] == open_
+            # The outermost tag, and those below it that are treated in a way of their own.
+            assert t["path"] == open_[:1] + [x for x in open_[1:] if x in markup.MARKED]
             open_.append(t["tag"])
         elif t["kind"] == "end":
             assert open_.pop() == t["tag"]
@@ -87,6 +89,25 @@ def test_tokens_balance(spark):
     assert one(spark, markup.text_of(markup.tokens(F.col("h"))), h=None) == ""
 
 
+def test_deep_markup_takes_its_length_in_time():
+    def seconds(depth):
+        html = "<div><b>" * depth + "x<img>" + "</b></div>" * depth
+        start = time.perf_counter()
+        tokens, elements = markup.read_tokens(html), markup.read_elements(html)
+        assert len(tokens) == 4 * depth + 2 and elements[0]["images"] == 1 and max(len(t["path"]) for t in tokens) == 1
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.01)
+
+
+def test_elements_of_nested_markup():
+    found = markup.read_elements("<table><tr><th>a<th scope=row>b <a href=x><img> </a></table><h1> <em>T</em>itle</h1><a><a></a>" + "<h2>" + "w" * 99)
+    kept = [(x["tag"], x["text"], x["blank"], x["images"], x["headers"], x["unscoped"]) for x in found if x["tag"] in markup.READ]
+    assert kept == [("table", "ab  ", False, 1, 2, "a"), ("th", "a", False, 0, 0, None), ("th", "b  ", False, 1, 0, None), ("a", " ", True, 1, 0, None), ("h1", " Title", False, 0, 0, None),
+                    ("a", "w" * 60, False, 0, 0, None), ("a", "", True, 0, 0, None), ("h2", "w" * 60, False, 0, 0, None)]
+
+
 def test_boxes(spark):
     row = spark.createDataFrame([([10.0, 10.0, 10.4, 900.0],), ([5.0, 1.0, 2.0, 3.0],), (None,)], "b array<double>")
     found = row.select(geometry.is_box(F.col("b")).alias("ok"), geometry.crop(F.col("b"), F.lit(100), F.lit(100)).alias("c")).collect()

@@ -1,5 +1,6 @@
 import io
 import itertools
+import re
 import zipfile
 
 import numpy as np
@@ -32,6 +33,19 @@ def test_sanitize(spark):
     assert [r["html"] for r in sanitize.sanitize(once).orderBy("id").collect()] == [b for _, b in CLEAN]
 
 
+def test_layout_is_dropped(spark):
+    """Markup that is laid out in lines comes to the same as markup in one line; a space between inline elements is text."""
+    flat = (
+        '<ul><li>one <em>a</em> <strong>b</strong></li><li>two<ul><li>y</li></ul></li></ul><figure><img alt="x" src="f"><figcaption>cap <em>x</em></figcaption></figure>'
+        '<table><caption>c</caption><tbody><tr><th scope="col">h</th><td>d</td></tr></tbody></table><dl><dt>t</dt><dd>d</dd></dl><pre>a\n  b <em> c </em>\n</pre>'
+    )
+    laid = re.sub(r"(<(?:ul|figure|table|tbody|tr|dl)\b[^>]*>|</(?:li|ul|figcaption|caption|th|td|tr|tbody|table|figure|dt|dd|dl)>|<img[^>]*>)", "\\1\n   ", flat).replace("two<ul>", "two\n <ul>")
+    rows = spark.createDataFrame([(1, flat), (2, laid), (3, "<figure> <img src=f alt=x> <figcaption> c </figcaption> </figure>"), (4, "<p>a <em>b</em> <em>c</em> </p> <p> d</p>")], "id int, html string")
+    found = [r["html"] for r in sanitize.sanitize(rows).orderBy("id").collect()]
+    assert found[0] == found[1] == flat
+    assert found[2:] == ['<figure><img alt="x" src="f"><figcaption> c </figcaption></figure>', "<p>a <em>b</em> <em>c</em> </p><p> d</p>"]
+
+
 def test_sanitize_is_idempotent(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "html")
     once = sanitize.sanitize(pages)
