@@ -60,13 +60,20 @@ def _attributes(t: Column, name: Column) -> Column:
         & ~((k == "class") & (F.size(classes) == 0)),
     )
     value = F.transform_values(value, lambda k, v: F.when(k == "class", F.array_join(classes, " ")).otherwise(v))
-    value = F.when((name == "img") & ~F.map_contains_key(value, F.lit("alt")), F.map_concat(value, F.create_map(F.lit("alt"), F.lit("")))).otherwise(value)
-    written = F.transform(F.array_sort(F.map_keys(value)), lambda k: F.concat(F.lit(" "), k, F.lit('="'), escaped(value[k]), F.lit('"')))
+    bare_image = (name == "img") & ~F.map_contains_key(t["attrs"], F.lit("alt"))
+    entries = F.concat(F.map_entries(value), F.when(bare_image, F.map_entries(F.create_map(F.lit("alt"), F.lit("")))).otherwise(F.array()))
+    # Entries are sorted by their names, which differ.
+    written = F.transform(F.array_sort(entries), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), escaped(e["value"]), F.lit('"')))
     return F.when(F.array_contains(t["path"], "math"), "").otherwise(F.array_join(written, ""))
 
 
-def _written(t: Column) -> Column:
-    name = _name(t)
+def _named(tokens: Column) -> Column:
+    """Tokens with the name that each is written with, which is then worked out once."""
+    return F.transform(tokens, lambda t: F.struct(t.alias("token"), _name(t).alias("name")))
+
+
+def _written(named: Column) -> Column:
+    t, name = named["token"], named["name"]
     text = reduce(lambda s, pair: F.replace(s, F.lit(pair[0]), F.lit(pair[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")), t["text"])
     tag = (
         F.when(name == "", "")
@@ -82,15 +89,19 @@ def clean(tokens: Column) -> Column:
         tokens,
         lambda t: ~F.arrays_overlap(t["path"], _literals(DROPPED)) & ~t["tag"].isin(*DROPPED) & ~F.array_contains(t["flags"], "layout"),
     )
-    return F.trim(F.array_join(F.transform(kept, _written), ""))
+    return F.trim(F.array_join(F.transform(_named(kept), _written), ""))
 
 
 def _paragraphs(tokens: Column) -> Column:
     """Clean tokens again, with the text and inline tags at the top level gathered in paragraphs."""
-    top = F.transform(
-        tokens,
-        lambda t: F.struct(_written(t).alias("out"), ((F.size(t["path"]) == 0) & ~t["tag"].isin(*sorted(markup.BLOCKS)) | (F.size(t["path"]) > 0) & ~F.get(t["path"], F.lit(0)).isin(*sorted(markup.BLOCKS))).alias("loose")),
-    )
+    blocks = sorted(markup.BLOCKS)
+
+    def placed(named: Column) -> Column:
+        t = named["token"]
+        outermost = F.coalesce(F.get(t["path"], F.lit(0)), t["tag"])
+        return F.struct(_written(named).alias("out"), (~outermost.isin(*blocks)).alias("loose"))
+
+    top = F.transform(_named(tokens), placed)
     start = F.struct(F.lit("").alias("html"), F.lit(False).alias("open"))
     end = F.aggregate(
         top,
