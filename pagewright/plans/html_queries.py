@@ -202,7 +202,15 @@ QUERIES = {
     ),
     "sanitize": (sanitized, None),
     "tree_text": (tree_text, None),
-    "normalized_headings": (normalised_headings, None),
+    "normalized_headings": (
+        normalised_headings,
+        """WITH RECURSIVE h AS (SELECT doc_id // 5 AS doc_id, CAST(doc_id % 5 AS INT) AS ord, CAST(doc_id * 3 % 4 + 1 AS INT) AS level FROM documents),
+        t AS (SELECT doc_id, count(*) FILTER (level = 1) AS tops FROM h GROUP BY doc_id),
+        m AS (SELECT h.doc_id, ord, CASE WHEN tops > 1 THEN least(level + 1, 6) ELSE level END AS level FROM h JOIN t USING (doc_id) UNION ALL SELECT doc_id, -1, 1 FROM t WHERE tops <> 1),
+        l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM m),
+        r AS (SELECT doc_id, ord, n, least(level, 2) AS new_level FROM l WHERE n = 1 UNION ALL SELECT l.doc_id, l.ord, l.n, least(l.level, r.new_level + 1) FROM l JOIN r ON l.doc_id = r.doc_id AND l.n = r.n + 1)
+        SELECT doc_id, CAST(ord AS INT) AS ord, CAST(new_level AS INT) AS new_level FROM r""",
+    ),
     "chapter_number": (
         chapter_number,
         """WITH b AS (SELECT doc_id // 20 AS doc_id, CAST(doc_id % 20 AS INT) AS ord, CASE WHEN doc_id % 6 = 0 THEN 'h1' WHEN doc_id % 7 = 1 THEN 'h2' ELSE 'p' END AS tag FROM documents)

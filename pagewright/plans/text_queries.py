@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry, text
 from pagewright.operators import outline
-from pagewright.sources.adapters import pages, table
+from pagewright.sources.adapters import PAGES_SQL, pages, table
 
 
 
@@ -177,7 +177,14 @@ QUERIES = {
     ),
     "slug_title": (slug_title, f"SELECT page_id, {_SLUG} AS slug FROM {_TITLE}"),
     "doc_id": (doc_id, f"SELECT page_id, regexp_replace(left({_SLUG}, 60), '-+$', '') || '-' || substr(sha256(url), 1, 8) AS doc_id FROM {_TITLE}"),
-    "page_ids": (page_ids, None),
+    "page_ids": (
+        page_ids,
+        f"""WITH RECURSIVE p AS ({PAGES_SQL}), b AS (SELECT doc_id, page_index, 'pg-' || coalesce(label, CAST(page_index AS VARCHAR)) AS name, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS n FROM p WHERE NOT skip AND trim(html) <> ''),
+        r AS (SELECT doc_id, page_index, n, name AS page_id, [name] AS taken FROM b WHERE n = 1
+          UNION ALL SELECT doc_id, page_index, n, page_id, list_append(taken, page_id) AS taken FROM (SELECT b.doc_id, b.page_index, b.n, r.taken,
+            list_filter(list_transform(range(0, b.n), lambda k: b.name || repeat('b', k)), lambda c: NOT list_contains(r.taken, c))[1] AS page_id FROM b JOIN r ON b.doc_id = r.doc_id AND b.n = r.n + 1) x)
+        SELECT doc_id, page_index, page_id FROM r""",
+    ),
     "heading_clamp": (
         heading_clamp,
         """WITH RECURSIVE l AS (SELECT doc_id // 8 AS doc_id, CAST(doc_id % 8 AS INT) AS ord, CAST(doc_id * 7 % 6 + 1 AS INT) AS level FROM documents),
