@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.plans import draft_queries, html_queries, page_queries, project_queries, saving_queries, stream_queries, text_queries
+from pagewright.plans import call_queries, draft_queries, html_queries, page_queries, project_queries, saving_queries, stream_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL: dict[str, tuple[Query, str | None]] = {**page_queries.QUERIES, **text_queries.QUERIES, **html_queries.QUERIES, **stream_queries.QUERIES, **saving_queries.QUERIES, **project_queries.QUERIES, **draft_queries.QUERIES}
+ALL: dict[str, tuple[Query, str | None]] = {**page_queries.QUERIES, **text_queries.QUERIES, **html_queries.QUERIES, **stream_queries.QUERIES, **saving_queries.QUERIES, **project_queries.QUERIES, **draft_queries.QUERIES, **call_queries.QUERIES}
 
 
 def queries() -> dict[str, Query]:
