@@ -2,6 +2,8 @@ import hashlib
 import time
 import unicodedata
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,17 @@ def test_boxes(spark):
     found = row.select(geometry.is_box(F.col("b")).alias("ok"), geometry.crop(F.col("b"), F.lit(100), F.lit(100)).alias("c")).collect()
     assert [r["ok"] for r in found] == [True, False, False]
     assert tuple(found[0]["c"]) == (1, 1, 2, 90)
+
+
+@pytest.mark.parametrize("sizes,most,expected", [([], 10, []), ([3], 10, [1]), ([0, 0], 10, [2]), ([4, 4, 4, 4], 10, [2, 2]), ([50, 1, 1, 50, 50], 10, [3, 1, 1])])
+def test_runs(sizes, most, expected):
+    found = list(markup.runs(np.array(sizes, np.int64), most))
+    assert [end - start for start, end in found] == expected and [start for start, _ in found] == [sum(expected[:i]) for i in range(len(expected))]
+
+
+@pytest.mark.parametrize("read", [markup.read_tokens])
+def test_no_batch_is_held_parsed(read):
+    pages = pd.Series([f'<p id="{i}">' + "word " * 2_000 + "</p>" for i in range(200)] + [""])
+    parts = list(markup.in_parts(iter([pages, pages[:0]]), read))
+    assert max(map(len, parts)) < 40 and len(parts) > 5
+    assert [x for part in parts for x in part] == [read(x) for x in pages]
