@@ -123,7 +123,7 @@ def test_runs(sizes, most, expected):
     assert [end - start for start, end in found] == expected and [start for start, _ in found] == [sum(expected[:i]) for i in range(len(expected))]
 
 
-@pytest.mark.parametrize("read", [markup.read_tokens])
+@pytest.mark.parametrize("read", [markup.read_tokens, markup.read_elements])
 def test_no_batch_is_held_parsed(read):
     pages = pd.Series([f'<p id="{i}">' + "word " * 2_000 + "</p>" for i in range(200)] + [""])
     parts = list(markup.in_parts(iter([pages, pages[:0]]), read))
