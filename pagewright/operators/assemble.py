@@ -14,12 +14,16 @@ import zipfile
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.functions import text
+from pagewright.functions.markup import in_parts, runs
 from pagewright.functions.names import free_name
 from pagewright.functions.tree import Node, read, within, write
 from pagewright.operators import exports, outline
@@ -206,7 +210,7 @@ def _start(node: Node) -> int:
         return 1
 
 
-def _folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     doc, fold, nth = None, None, 0
     rows: list[tuple] = []
 
@@ -224,27 +228,37 @@ def _folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         put(index, "html", fold.close())
         told(index)
 
-    last = 0
-    for frame in frames:
-        for page in frame.itertuples(index=False):
-            if fold is None or page.doc_id != doc:
-                if fold is not None:
-                    end(last)
-                doc, nth, fold = page.doc_id, 0, _Fold(page.title, int(page.tops), set(page.known) if page.known is not None else set())
-            last = int(page.page_index)
-            page_id, done, merged = fold.page(last, page.name, page.label, page.html, bool(page.starts), bool(page.ends))
-            put(last, "page", page_id, page.label, merged)
-            put(last, "html", done)
-            told(last)
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
+    def given() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_PIECES.types)], schema=_PIECES)
         rows.clear()
+        return out
+
+    last = 0
+    for batch in batches:
+        html, known = batch.column("html"), batch.column("known")
+        size = pc.add(pc.fill_null(pc.binary_length(html), 0), pc.multiply(pc.fill_null(pc.list_value_length(known), 0), _KNOWN_CHARS))
+        for start, stop in runs(size.to_numpy(zero_copy_only=False).astype(np.int64)):
+            for page in batch.slice(start, stop - start).to_pylist():
+                if fold is None or page["doc_id"] != doc:
+                    if fold is not None:
+                        end(last)
+                    doc, nth, fold = page["doc_id"], 0, _Fold(page["title"], int(page["tops"]), set(page["known"] or ()))
+                last = page["page_index"]
+                page_id, done, merged = fold.page(last, page["name"], page["label"], page["html"], page["starts"], page["ends"])
+                put(last, "page", page_id, page["label"], merged)
+                put(last, "html", done)
+                told(last)
+            yield given()
     if fold is not None:
         end(last)
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
+        yield given()
 
 
 #: What the fold gives out, in order: finished markup, the id and label of a page, or a warning.
 PIECES = "doc_id string, nth int, page_index int, kind string, body string, label string, merged boolean"
+_PIECES = pa.schema([("doc_id", pa.string()), ("nth", pa.int32()), ("page_index", pa.int32()), ("kind", pa.string()), ("body", pa.string()), ("label", pa.string()), ("merged", pa.bool_())])
+#: What a word that decides on hyphens counts for among the characters of a run of pages.
+_KNOWN_CHARS = 16
 
 
 def _known(built: DataFrame) -> DataFrame:
@@ -289,7 +303,7 @@ def pieces(pages: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     tops = F.sum(F.regexp_count("html", F.lit(r"(?i)<h1[\s>]"))).over(Window.partitionBy("doc_id"))
     whole = titled.join(_known(built), "doc_id", "left").withColumns({"tops": tops, "name": F.concat(F.lit("pg-"), text.slug(F.col("label")))})
     dealt = whole.repartition("doc_id").sortWithinPartitions("doc_id", "page_index")
-    folded = dealt.select("doc_id", "page_index", "label", "html", "starts", "ends", "title", "tops", "known", "name").mapInPandas(_folded, PIECES)
+    folded = dealt.select("doc_id", "page_index", "label", "html", "starts", "ends", "title", "tops", "known", "name").mapInArrow(_folded, PIECES)
     pending = own.filter(blank & (status == "pending")).select(
         F.col("doc_id").cast("string").alias("doc_id"), F.lit(-1).alias("nth"), F.col("page_index").cast("int").alias("page_index"), F.lit("warning").alias("kind"),
         F.format_string("page %d: not read yet", F.col("page_index").cast("int")).alias("body"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("merged"),
@@ -374,13 +388,13 @@ def _chapters_of(html: str) -> list[dict]:
 
 
 @F.pandas_udf(CHAPTERS)
-def _chapters(html: pd.Series) -> pd.Series:
-    return html.map(lambda x: _chapters_of(x or ""))
+def _chapters(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    return in_parts(html, _chapters_of)
 
 
 def chapters(documents: DataFrame) -> DataFrame:
     """(doc_id, html) -> (doc_id, nth, file, body, title, ids, heads, marks, images) of the chapters, nth from 1."""
-    cut = documents.select("doc_id", F.posexplode(_chapters(F.col("html"))).alias("_nth", "_c"))
+    cut = documents.select("doc_id", F.posexplode(_chapters(F.coalesce("html", F.lit("")))).alias("_nth", "_c"))
     return cut.select("doc_id", (F.col("_nth") + 1).alias("nth"), F.format_string("text/ch%03d.xhtml", F.col("_nth") + 1).alias("file"), "_c.*")
 
 

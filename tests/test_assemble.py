@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from pagewright.functions.tree import read, write
@@ -124,3 +125,16 @@ def test_nothing_is_lost(spark, seed):
     assert levels.count(1) == 1 and levels[0] == 1 or tops == 1
     assert all(b <= a + 1 for a, b in zip(levels, levels[1:], strict=False))
     assert write(read(row["html"])) == row["html"]
+
+
+def test_fold_gives_out_pages_in_runs():
+    n = 300
+    pages = {
+        "doc_id": ["a"] * 200 + ["b"] * 100, "page_index": [*range(200), *range(100)], "label": [str(i) for i in range(n)], "html": ["<p>" + "word " * 1_000 + "</p>"] * n, "starts": [i % 3 == 0 for i in range(n)],
+        "ends": [i % 3 == 2 for i in range(n)], "title": ["t"] * n, "tops": [0] * n, "known": [None] * 100 + [["over-all"]] * 200, "name": [f"pg-{i}" for i in range(n)],
+    }
+    whole = pa.RecordBatch.from_pydict(pages, schema=pa.schema([("doc_id", pa.string()), ("page_index", pa.int32()), ("label", pa.string()), ("html", pa.string()), ("starts", pa.bool_()), ("ends", pa.bool_()), ("title", pa.string()), ("tops", pa.int64()), ("known", pa.list_(pa.string())), ("name", pa.string())]))
+    given = list(assemble._folded(iter([whole])))
+    assert max(b.num_rows for b in given) < 150
+    assert [r for b in given for r in b.to_pylist()] == [r for b in assemble._folded(whole.slice(i, 1) for i in range(n)) for r in b.to_pylist()]
+    assert sum(r["kind"] == "page" for b in given for r in b.to_pylist()) == n
