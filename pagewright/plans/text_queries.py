@@ -52,12 +52,17 @@ def knit_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjoining words of documents as if a page ended between them, the first with a hyphen; the word after them decides what is known."""
     ws = F.col("_ws")
     words = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0).alias("_ws"))
-    pairs = words.select("doc_id", F.explode(F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.struct(i.alias("nth"), w.alias("w"), F.get(ws, i + 1).alias("lead")))).alias("_p")).select("doc_id", "_p.*")
+    few = F.greatest(F.size(ws) - 1, F.lit(0))
+    zipped = F.arrays_zip(F.slice(ws, F.lit(1), few).alias("w"), F.slice(ws, F.lit(2), few).alias("lead"))
+    pairs = words.select("doc_id", F.posexplode(zipped).alias("nth", "_p")).select("doc_id", "nth", "_p.w", "_p.lead")
     mark = F.when(F.col("nth") % 11 == 0, F.lit("\u00ad")).when(F.col("nth") % 11 == 1, F.lit("")).when(F.col("nth") % 2 == 0, F.lit("-")).otherwise(F.lit("‐"))
     tail = F.when(F.col("nth") % 5 == 0, F.concat("w", F.lit("-x"), mark)).otherwise(F.concat("w", mark))
     lower = lambda c: F.lower(F.col(c))
     known = F.when(F.col("nth") % 3 == 0, F.array(F.concat(lower("w"), F.lit("-"), lower("lead")))).when(F.col("nth") % 3 == 1, F.array(F.concat(lower("w"), F.lit("-"), lower("lead")), F.concat(lower("w"), lower("lead")))).otherwise(F.array(F.concat(lower("w"), F.lit("-x"), lower("lead"))))
-    return pairs.select("doc_id", "nth", text.knit(tail, F.col("lead"), known).alias("knit"))
+    broken = pairs.select("doc_id", "nth", "lead", tail.alias("tail"), known.alias("known"))
+    before, after = text.broken_word(F.col("tail"), F.col("lead"))
+    parted = broken.withColumns({"before": before, "after": after})
+    return parted.select("doc_id", "nth", text.knit(F.col("tail"), F.col("lead"), F.col("known"), (F.col("before"), F.col("after"))).alias("knit"))
 
 
 def bbox_crop(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry, markup, model_json, text
+from pagewright.plans import text_queries
 from pagewright.sources import files
 
 
@@ -52,6 +53,11 @@ def test_knit(spark):
     assert [r["x"] for r in rows] == expected
 
 
+def test_knit_looks_at_each_word_once(spark, data):
+    plan = text_queries.knit_word(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 2 and "lambda" not in plan
+
+
 @pytest.mark.parametrize("title", ["Crème brûlée & Söhne", "ß x", "", "日本", "A" * 200, "--a--"])
 def test_slug(spark, title):
     ascii_ = unicodedata.normalize("NFKD", title).encode("ascii", "ignore").decode()
