@@ -1,14 +1,16 @@
 import hashlib
 import time
+import tracemalloc
 import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry, markup, model_json, text
-from pagewright.plans import text_queries
+from pagewright.plans import catalog, text_queries
 from pagewright.sources import files
 
 
@@ -135,3 +137,24 @@ def test_no_batch_is_held_parsed(read):
     parts = list(markup.in_parts(iter([pages, pages[:0]]), read))
     assert max(map(len, parts)) < 40 and len(parts) > 5
     assert [x for part in parts for x in part] == [read(x) for x in pages]
+
+
+@pytest.mark.parametrize("step", [markup._tokens, markup._elements])
+def test_memory_does_not_grow_with_a_batch(step):
+    def peak(n):
+        batch = pa.array([f"<h1>it\u2019s {i}</h1><p>" + "word " * 4_000 for i in range(n)])
+        tracemalloc.start()
+        assert sum(map(len, step.func(iter([batch, batch[:0]])))) == n
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(400) < 2 * peak(100)
+
+
+def test_tree_text_of_pages_in_many_runs(spark, tmp_path):
+    texts = {i: " ".join([str(i), *["it\u2019s"] * (i % 7 * 300)]) for i in range(600)} | {600: "", 601: "", 602: "long " * 60_000 + "page"}
+    html = {i: f'<h1 id="{i}">{i}</h1>\n<p>{text.removeprefix(str(i))}<script>x</script></p>' for i, text in texts.items()} | {600: None, 601: "", 602: texts[602]}
+    spark.createDataFrame(list(html.items()), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert sum(len(x or "") for x in html.values()) > 10 * markup.PART_CHARS
+    assert {r["page_id"]: r["text"] for r in catalog.queries()["tree_text"](spark, str(tmp_path)).collect()} == texts
