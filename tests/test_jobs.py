@@ -110,3 +110,81 @@ def test_requests_count_once(spark, tmp_path):
         streamed = edits.run_once(jobs.requests(told_again), "once_test", "append", str(tmp_path / "state"))
     got = pd.DataFrame([r.asDict() for r in streamed.collect()])
     assert sorted(got["event_id"]) == [1, 4, 5, 9] and list(got["_page"]) == list(got["event_id"])
+
+
+class Kept:
+    """A document's state and timers, and what was asked of them."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, [], []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.asked.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.asked.append("get")
+        return self.value
+
+    def update(self, value):
+        self.asked.append("update")
+        self.value = value
+
+    def clear(self):
+        self.asked.append("clear")
+        self.value = None
+
+    def listTimers(self):
+        self.asked.append("list")
+        return iter(self.timers)
+
+    def deleteTimer(self, at):
+        self.asked.append("delete")
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.asked.append("register")
+        self.timers.append(at)
+
+
+def frame(*story):
+    """(number, hours, kind, job, page, status) of one document's events."""
+    own = pd.DataFrame([("d", n, moment(h), *rest) for n, h, *rest in story], columns=["doc_id", "event_id", "at", "kind", "job", "page", "status"])
+    return own.assign(micros=[int(h * 3600 * 1_000_000) for _, h, *_ in story])
+
+
+def test_a_document_asks_no_more_of_its_state_than_it_needs():
+    kept, gate = Kept(), jobs._Gate(HOUR * 1_000_000)
+    gate.init(kept)
+
+    def batch(*frames):
+        kept.asked.clear()
+        found = pd.concat(list(gate.handleInputRows(("d",), iter(frames), None)))
+        return list(found["outcome"]), list(kept.asked)
+
+    assert batch(frame((1, 0.0, "page", None, 1, "done"))) == (["unknown"], ["get"])
+    assert batch(frame((3, 0.2, "page", "a", None, None)), frame((2, 0.1, "start", "a", None, None))) == (["started", "page"], ["get", "update", "register"])
+    assert batch(frame((4, 0.3, "start", "b", None, None), (5, 0.3, "page", "b", 1, "done"))) == (["refused", "unknown"], ["get"])
+    assert kept.value == ("a", 1, 0, 720_000_000) and kept.timers == [4_320_001]
+    assert batch(frame((6, 0.4, "page", "a", 1, "error"))) == (["page"], ["get", "list", "delete", "update", "register"])
+    assert kept.value == ("a", 2, 1, 1_440_000_000) and kept.timers == [5_040_001]
+    assert batch(frame((7, 0.5, "end", None, None, None))) == (["ended"], ["get", "list", "delete", "clear"])
+    assert kept.value is None and kept.timers == []
+
+
+def test_many_rows_of_a_document_come_out_in_pieces():
+    n, kept, gate = 25_000, Kept(), jobs._Gate(HOUR * 1_000_000)
+    gate.init(kept)
+    whole = frame((0, 0.0, "start", "a", None, None), *[(i, i / 100_000, "page", None, i, "done") for i in range(1, n)])
+    given = list(gate.handleInputRows(("d",), iter([whole.iloc[i : i + 10_000] for i in (20_000, 0, 10_000)]), None))
+    assert max(map(len, given)) <= 10_000 and sum(map(len, given)) == n
+    assert list(pd.concat(given)["event_id"]) == list(range(n)) and list(pd.concat(given)["completed"]) == list(range(n))
+    assert kept.value[:3] == ("a", n - 1, 0)
+
+
+@pytest.mark.parametrize("none", [None, float("nan"), pd.NA, pd.NaT])
+def test_missing_values(none):
+    assert jobs._plain(pd.Series(["x", none, 2], dtype=object)) == ["x", None, 2]
