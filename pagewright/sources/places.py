@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -17,3 +17,10 @@ def new_folder(spark: SparkSession, label: str) -> str:
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix=f"pagewright-{label}-")
+
+
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """Rows written as Parquet to a new place and read back, for what reads them more than once."""
+    path = new_folder(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -138,3 +138,41 @@ def test_fold_gives_out_pages_in_runs():
     assert max(b.num_rows for b in given) < 150
     assert [r for b in given for r in b.to_pylist()] == [r for b in assemble._folded(whole.slice(i, 1) for i in range(n)) for r in b.to_pylist()]
     assert sum(r["kind"] == "page" for b in given for r in b.to_pylist()) == n
+
+
+def test_pages_are_made_once(spark):
+    """Whatever makes the pages runs once for each, though their words, headings and markup are all asked for."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"d{i % 5}", i, None, "<p>a inter-</p>" if i < 30 else None, False, False, False, "pending") for i in range(40)]
+    found = assemble.assemble(spark.createDataFrame(rows, SHAPE).mapInArrow(counted, SHAPE)).collect()
+    assert sorted(r["doc_id"] for r in found) == [f"d{i}" for i in range(5)] and all(r["n_pages"] == 6 and len(r["warnings"]) == 2 for r in found)
+    assert made.value == 40
+
+
+def test_words_decide_in_their_own_document(spark):
+    """Documents with and without broken words, without an id, with a compound or without, and with pages that come twice."""
+    compound, broken, rest = "<h1>T</h1><p>self-ish</p>", "<p>the self-</p>", "<p>ish b</p>"
+    pages = [(d, i, str(i), html, False, False, None, "done") for d, own in (("a", (compound, broken, rest)), ("b", ("<h1>T</h1>", broken, rest)), ("c", (compound, rest, rest)), (None, (compound, broken, rest))) for i, html in enumerate(own, 1)]
+    pages += [("e", i, str(i), html, False, False, None, "done") for i, html in enumerate((compound, broken, rest), 1) for _ in range(2)]
+    found = {r["doc_id"]: r["html"] for r in assemble.assemble(spark.createDataFrame(pages, SHAPE).repartition(3)).collect()}
+    assert f"the self-{mark(3)}ish b" in found["a"] and f"the self{mark(3)}ish b" in found["b"] and found["c"].endswith(f"{mark(3, 'div')}<p>ish b</p>")
+    # Without an id no words of the document are found.
+    assert f"the self{mark(3)}ish b" in found[None]
+    assert found["e"].count("doc-pagebreak") == 6 and f"the self-{mark(3)}ish b" in found["e"]
+
+
+def test_fold_takes_what_is_known_from_a_row_before_the_pages():
+    names = ["doc_id", "page_index", "label", "html", "starts", "ends", "title", "tops", "known", "name"]
+    types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.string()]
+    rows = [("d", None, None, None, None, None, "Book", 0, ["self-ish"], None), ("d", 1, "1", "<p>a self-</p>", False, False, None, None, None, "pg-1"), ("d", 2, "2", "<p>ish</p>", False, False, None, None, None, "pg-2")]
+    whole = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=pa.schema(list(zip(names, types, strict=True))))
+    told = [r for i in range(3) for r in [whole.slice(i, 1)]]
+    given = [r for b in assemble._folded(iter(told)) for r in b.to_pylist()]
+    assert [r["label"] for r in given if r["kind"] == "page"] == ["1", "2"]
+    assert "".join(r["body"] for r in given if r["kind"] == "html") == f'<h1 id="h-1">Book</h1>{mark(1, "div")}<p>a self-{mark(2)}ish</p>'
