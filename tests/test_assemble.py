@@ -176,3 +176,18 @@ def test_fold_takes_what_is_known_from_a_row_before_the_pages():
     given = [r for b in assemble._folded(iter(told)) for r in b.to_pylist()]
     assert [r["label"] for r in given if r["kind"] == "page"] == ["1", "2"]
     assert "".join(r["body"] for r in given if r["kind"] == "html") == f'<h1 id="h-1">Book</h1>{mark(1, "div")}<p>a self-{mark(2)}ish</p>'
+
+
+def test_markup_is_not_shuffled_to_find_few_broken_words(spark, capsys):
+    """Where few documents have a broken word, they are found among the pages by a broadcast as large as the words are."""
+    rng = random.Random(3)
+    rows = [(f"d{i % 20}", i, None, "<p>" + " ".join(str(rng.random()) for _ in range(200)) + (" self-" if i == 7 else "") + "</p>", False, False, False, "done") for i in range(100)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 20_000)
+    try:
+        found = assemble.pieces(spark.createDataFrame(rows, SHAPE))
+        found.explain()
+        assert sum("BroadcastHashJoin" in x and "LeftSemi" in x for x in capsys.readouterr().out.splitlines()) == 1
+        assert found.filter("kind = 'page'").count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
